@@ -1,0 +1,5 @@
+"""Reserved: the engine's whole surface is batch, so there is nothing to stream.
+
+Late data shows up here only as late *visibility* (an ``available_at`` after the
+as-of), which the batch operators in ``tidemark.operators`` handle.
+"""
