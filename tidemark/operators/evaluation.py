@@ -31,42 +31,42 @@ def match_labels(points: DataFrame, labels: DataFrame) -> DataFrame:
     return points.join(one, ["signal_date", "security_id"], "left")
 
 
-def usable_pairs(points: DataFrame, labels: DataFrame, evaluation_asof: object) -> DataFrame:
-    """Scored points with flags ``is_missing`` (checked first), ``is_immature`` and ``is_usable``."""
-    scored = points.where((F.col("status") == OK) & F.col("momentum_score").isNotNull())
-    joined = match_labels(scored, labels).select("*", "label.future_return", "label.label_end_ts", "label.label_observed_at")
+def judged_points(points: DataFrame, labels: DataFrame, evaluation_asof: object) -> DataFrame:
+    """All points with ``is_scored`` and, for scored ones, missing (first), immature or usable."""
+    joined = match_labels(points, labels).select("*", "label.future_return", "label.label_end_ts", "label.label_observed_at").drop("label")
+    scored = (F.col("status") == OK) & F.col("momentum_score").isNotNull()
     missing = F.col("future_return").isNull()
     mature = F.coalesce(is_mature(evaluation_asof), F.lit(False))
-    return joined.withColumns({"is_missing": missing, "is_immature": ~missing & ~mature, "is_usable": ~missing & mature})
+    return joined.withColumns(
+        {"is_scored": scored, "is_missing": scored & missing, "is_immature": scored & ~missing & ~mature, "is_usable": scored & ~missing & mature}
+    )
+
+
+def usable_pairs(points: DataFrame, labels: DataFrame, evaluation_asof: object) -> DataFrame:
+    return judged_points(points, labels, evaluation_asof).where("is_scored")
 
 
 def rank_ic(points: DataFrame, labels: DataFrame, evaluation_asof: object) -> DataFrame:
     """Per signal date the ordinal-rank Spearman IC and sample counts.
 
     Both ranks are recomputed among usable pairs. A date needs two pairs for an IC.
+    One join, two orders inside the date and one aggregate.
     """
-    pairs = usable_pairs(points, labels, evaluation_asof)
-    usable = pairs.where("is_usable")
-    ranked = usable.withColumns({"_rs": ordinal_rank(F.col("momentum_score"), ["signal_date"]), "_rr": ordinal_rank(F.col("future_return"), ["signal_date"])})
+    judged = judged_points(points, labels, evaluation_asof)
+    group = ["signal_date", "is_usable"]
+    ranked = judged.withColumns({"_rs": ordinal_rank(F.col("momentum_score"), group), "_rr": ordinal_rank(F.col("future_return"), group)})
     gap = (F.col("_rs") - F.col("_rr")).cast("bigint")
-    per_date = ranked.groupBy("signal_date").agg(F.count(F.lit(1)).alias("_n"), F.sum(gap * gap).alias("_d2"))
-    counts = pairs.groupBy("signal_date").agg(
-        F.count_if("is_immature").alias("immature_label_count"), F.count_if("is_missing").alias("missing_label_count")
-    )
-    universe = points.groupBy("signal_date").agg(F.max("universe_size").cast("bigint").alias("universe_size"))
-    joined = universe.join(counts, "signal_date", "left").join(per_date, "signal_date", "left")
-    n = F.coalesce(F.col("_n"), F.lit(0))
-    cube = (F.col("_n") * (F.col("_n") * F.col("_n") - 1)).cast("double")
-    ic = F.when(n >= 2, 1.0 - (6 * F.col("_d2")).cast("double") / cube)
-    zero = F.lit(0).cast("bigint")
-    return joined.select(
-        "signal_date",
-        ic.alias("rank_ic"),
-        n.cast("bigint").alias("sample_size"),
-        "universe_size",
-        F.coalesce("immature_label_count", zero).alias("immature_label_count"),
-        F.coalesce("missing_label_count", zero).alias("missing_label_count"),
+    usable = F.col("is_usable")
+    per_date = ranked.groupBy("signal_date").agg(
+        F.count_if(usable).alias("sample_size"),
+        F.sum(F.when(usable, gap * gap)).alias("_d2"),
+        F.max("universe_size").cast("bigint").alias("universe_size"),
+        F.count_if("is_immature").alias("immature_label_count"),
+        F.count_if("is_missing").alias("missing_label_count"),
     )
+    n = F.col("sample_size")
+    ic = F.when(n >= 2, 1.0 - (6 * F.col("_d2")).cast("double") / (n * (n * n - 1)).cast("double"))
+    return per_date.select("signal_date", ic.alias("rank_ic"), "sample_size", "universe_size", "immature_label_count", "missing_label_count")
 
 
 def coverage(ic: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from tidemark.functions.scalars import market_close_ts, market_open_ts, pad_id,
 from tidemark.operators.actions import event_intervals, manifest_text
 from tidemark.operators.calendar import SessionCalendar, next_session
 from tidemark.operators.pit import pit_basis_violations
-from tidemark.operators.returns import late_bar_violations, open_to_open_return, versioned_timeline
+from tidemark.operators.returns import Timeline, open_to_open_return, prepare_timeline
 from tidemark.operators.signals import id_date_grid
 
 HOLDING_SESSIONS = 21
@@ -41,7 +41,7 @@ def future_return_labels(
     signal_dates: Sequence[dt.date],
     spec: LabelSpec = LabelSpec(),
     manifest: bool = True,
-    check: bool = True,
+    line: Timeline | None = None,
 ) -> DataFrame:
     """Labels per (signal date, id): enter at the next open, leave ``holding`` sessions later.
 
@@ -57,14 +57,12 @@ def future_return_labels(
     early = [d for d in signal_dates if position[d] + spec.exit_lag >= cal.size]
     if early:
         raise ContractViolation(f"no exit session for signal dates: {early[:3]}")
-    if check:
-        enforce(late_bar_violations(bars))
-    universe = bars.join(ids.select("security_id").distinct(), "security_id", "left_semi")
-    rows, late = versioned_timeline(universe, actions, cal)
+    if line is None:
+        line = prepare_timeline(bars, actions, cal, ids)
     grid = id_date_grid(ids, cal, signal_dates)
     dated = next_session(next_session(grid, cal, "signal_date", spec.entry_lag, "entry_date"), cal, "signal_date", spec.exit_lag, "exit_date")
     pairs = dated.withColumn("asof_ts", market_close_ts("exit_date"))
-    results = open_to_open_return(pairs, rows, cal, late)
+    results = open_to_open_return(pairs, line, cal)
     status = (
         F.when(F.col("status") == OK, OK)
         .when(F.col("block_reason") == "MISSING_ENTRY_OPEN", "NOT_TRADABLE_ENTRY")

@@ -9,15 +9,18 @@ and are as long as the trading calendar.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.contracts import BLOCKED, NO_DATA, OK, STATUS_NORMAL
+from tidemark.contracts import BLOCKED, NO_DATA, OK, STATUS_NORMAL, enforce, violation
 from tidemark.functions.pricing import reference_terms
 from tidemark.functions.scalars import market_close_ts, timestamp_literal
 from tidemark.operators.actions import orphan_ex_dates, versioned_inputs, visible_inputs
 from tidemark.operators.calendar import SessionCalendar, with_session_idx
 from tidemark.operators.pit import pit_query
+from tidemark.staging import stage
 
 NO_CLOSE = "MISSING_CLOSE_OR_PREVIOUS_CLOSE"
 NOT_ADJACENT = "PREVIOUS_CLOSE_NOT_ADJACENT_TRADING_DAY"
@@ -201,6 +204,30 @@ def asof_timeline(bars: DataFrame, actions: DataFrame, cal: SessionCalendar, aso
     return timeline(return_points(visible, visible_inputs(actions, asof_ts), cal), orphan_ex_dates(known, visible))
 
 
+@dataclass(frozen=True)
+class Timeline:
+    """A staged timeline and its later versions, shared by signals and labels."""
+
+    rows: DataFrame
+    late: DataFrame | None
+
+    def replay(self, pairs: DataFrame, key: list[str]) -> DataFrame | None:
+        """Exact results for pairs a later version touches; None when there are no versions."""
+        if self.late is None:
+            return None
+        return replay_windows(touched_pairs(pairs, self.late), key, self.rows, self.late)
+
+
+def prepare_timeline(bars: DataFrame, actions: DataFrame, cal: SessionCalendar, ids: DataFrame | None = None, check: bool = True) -> Timeline:
+    """Build and stage the timeline of bars that are visible at their own close."""
+    if check:
+        enforce(late_bar_violations(bars))
+    universe = bars if ids is None else bars.join(ids.select("security_id").distinct(), "security_id", "left_semi")
+    base, later = versioned_timeline(universe, actions, cal)
+    late = stage(later, "late-versions")
+    return Timeline(stage(base, "timeline"), None if late.isEmpty() else late)
+
+
 def versioned_timeline(bars: DataFrame, actions: DataFrame, cal: SessionCalendar) -> tuple[DataFrame, DataFrame]:
     """Timeline with every value as known at its own close, and the later versions.
 
@@ -246,8 +273,6 @@ def _orphan_targets(rows: DataFrame, orphans: DataFrame) -> DataFrame:
 
 
 def late_bar_violations(bars: DataFrame) -> DataFrame:
-    from tidemark.contracts import violation
-
     close = market_close_ts("trade_date")
     late = (F.col("available_at") > close) | (F.col("event_ts") > close) if "event_ts" in bars.columns else F.col("available_at") > close
     return violation(bars, late, "BAR_NOT_VISIBLE_ON_OWN_DATE", ["security_id", "trade_date"], F.col("available_at"))
@@ -342,13 +367,14 @@ def touched_pairs(pairs: DataFrame, late: DataFrame) -> DataFrame:
     )
 
 
-def open_to_open_return(pairs: DataFrame, rows: DataFrame, cal: SessionCalendar, late: DataFrame | None = None) -> DataFrame:
+def open_to_open_return(pairs: DataFrame, line: Timeline, cal: SessionCalendar) -> DataFrame:
     """Adjusted return between two opens for ``(security_id, entry_date, exit_date, asof_ts)``.
 
     ``exit_open / (entry_open * product(reference / previous close)) - 1`` over the bars
     after the entry up to the exit. Opens need normal trading on their date.
     """
     keys = ["security_id", "entry_date", "exit_date", "asof_ts"]
+    rows = line.rows
     checked = pairs.withColumn(
         "exit_date", F.when(F.col("exit_date") <= F.col("entry_date"), F.raise_error(F.lit("exit must be after entry"))).otherwise(F.col("exit_date"))
     )
@@ -389,9 +415,9 @@ def open_to_open_return(pairs: DataFrame, rows: DataFrame, cal: SessionCalendar,
         reason.alias("_reason"),
         value.alias("_adjust"),
     )
-    if late is not None:
+    if line.late is not None:
         candidates = result.where(F.col("_em") & F.col("_xm") & F.col("_eo").isNotNull() & F.col("_xo").isNotNull()).select(*keys, "start_no", "end_no")
-        replayed = replay_windows(touched_pairs(candidates.distinct(), late), ["entry_date", "exit_date", "asof_ts"], rows, late)
+        replayed = line.replay(candidates.distinct(), ["entry_date", "exit_date", "asof_ts"])
         redo = replayed.select(*keys, F.struct("status", "block_reason", "adjust").alias("_redo"))
         result = result.join(redo, keys, "left")
         redone = F.col("_redo").isNotNull()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market",)
+MODULES = ("market", "research")
 
 
 def all_cases():

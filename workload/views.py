@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import board_from_id, market_close_ts
 from tidemark.operators.calendar import SessionCalendar, densify_bars
+from tidemark.operators.returns import Timeline, prepare_timeline
+from tidemark.staging import stage
 
 BASE_TABLES = ("lineitem", "orders", "supplier", "customer", "part", "events", "documents", "pages", "nation", "labels", "conversations")
 
@@ -191,7 +193,13 @@ def oracle_ctes(names: tuple[str, ...]) -> str:
     return ",\n".join(parts)
 
 
-_CALENDARS: dict[tuple[str, str], SessionCalendar] = {}
+# Landed tables and shared intermediates, built once per session and folder.
+_SHARED: dict[tuple[str, str, str], object] = {}
+
+
+def forget_shared() -> None:
+    """Drop the shared tables, so that the next query pays for building them."""
+    _SHARED.clear()
 
 
 class Tables:
@@ -215,29 +223,42 @@ class Tables:
     def bars_src(self) -> DataFrame:
         return self.source("bars_src")
 
+    def shared(self, name: str, build):
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _SHARED:
+            _SHARED[key] = build()
+        return _SHARED[key]
+
+    def landed(self, name: str, build) -> DataFrame:
+        return self.shared(name, lambda: stage(build(), name))
+
     @property
     def cal(self) -> SessionCalendar:
         """Read once per session and folder: its few hundred dates are a parameter of every plan."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _CALENDARS:
-            dates = self.base("lineitem").select(F.date_add(F.to_date(F.date_trunc("week", "l_shipdate")), 8036).alias("trade_date"))
-            _CALENDARS[key] = SessionCalendar.from_table(dates)
-        return _CALENDARS[key]
 
-    @cached_property
+        def read() -> SessionCalendar:
+            week = F.date_add(F.to_date(F.date_trunc("week", "l_shipdate")), 8036)
+            return SessionCalendar.from_table(self.base("lineitem").select(week.alias("trade_date")))
+
+        return self.shared("calendar", read)
+
+    @property
     def bars(self) -> DataFrame:
-        return densify_bars(self.bars_src.drop("k"), self.cal)
+        return self.landed("daily_bar_raw", lambda: densify_bars(self.bars_src.drop("k"), self.cal).repartition("security_id").sortWithinPartitions("security_id", "trade_date"))
 
-    @cached_property
+    @property
     def sparse(self) -> DataFrame:
         return self.bars.where(F.col("close").isNotNull())
 
-    @cached_property
+    @property
     def ids(self) -> DataFrame:
-        return self.bars_src.select("security_id").distinct()
+        return self.landed("universe", lambda: self.bars.select("security_id").distinct())
 
-    @cached_property
+    @property
     def actions(self) -> DataFrame:
+        return self.landed("corporate_actions", self._actions)
+
+    def _actions(self) -> DataFrame:
         src = self.source("actions_src")
         announced = F.when(F.col("n") % 11 != 0, F.date_sub("ex_date", F.col("lead_days").cast("int")))
         base = src.withColumn("announcement_date", announced).withColumn("_day", F.coalesce("announcement_date", "ex_date"))
@@ -277,8 +298,15 @@ class Tables:
             F.when(F.col("n") % 3 == 1, F.date_sub("ex_date", 3).cast("timestamp_ntz") + F.expr("interval 18 hours")).alias("disclosure_ts"),
         )
 
-    @cached_property
+    @property
+    def timeline(self) -> Timeline:
+        return self.shared("timeline", lambda: prepare_timeline(self.bars, self.actions, self.cal, self.ids))
+
+    @property
     def master(self) -> DataFrame:
+        return self.landed("security_master", self._master)
+
+    def _master(self) -> DataFrame:
         agg = self.bars_src.groupBy("security_id").agg(F.min("trade_date").alias("_d"), F.min("k").alias("_k"))
         listed = F.date_add("_d", (F.col("_k") % 3 * 7).cast("int"))
         snap = F.lit("2020-06-30 15:00:00").cast("timestamp_ntz")
