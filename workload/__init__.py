@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "research")
+MODULES = ("market", "research", "trading")
 
 
 def all_cases():
