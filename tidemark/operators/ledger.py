@@ -294,6 +294,12 @@ def _marks(bars: DataFrame, wanted: DataFrame, cal: SessionCalendar) -> DataFram
     return seen.select("security_id", "_at", F.col("_c.close").alias("_close"), F.col("_c.i").alias("_from"))
 
 
+def _on_session(df: DataFrame, index: str, day: str) -> DataFrame:
+    """A ledger date off the calendar cannot be placed in a NAV: fail."""
+    message = F.concat(F.lit("not a session: "), F.col(day).cast("string"))
+    return df.withColumn(index, F.coalesce(F.col(index), F.raise_error(message).cast("int")))
+
+
 def daily_nav(entries: DataFrame, bars: DataFrame, cal: SessionCalendar, opening_cash: DataFrame, fills: DataFrame | None = None) -> DataFrame:
     """NAV per (portfolio, session) from the first entry to the last session.
 
@@ -301,7 +307,7 @@ def daily_nav(entries: DataFrame, bars: DataFrame, cal: SessionCalendar, opening
     one; those spans meet the marks on (security, session).
     """
     zero = F.lit(0).cast("decimal(18,2)")
-    located = with_session_idx(entries, cal, "trade_date", "_i")
+    located = _on_session(with_session_idx(entries, cal, "trade_date", "_i"), "_i", "trade_date")
     moves = located.groupBy(*POSITION, "_i").agg(F.sum("quantity_delta").alias("_dq"), F.sum("cost_basis_delta").alias("_dc"))
     order = Window.partitionBy(*POSITION).orderBy("_i")
     run = order.rowsBetween(Window.unboundedPreceding, 0)

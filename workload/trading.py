@@ -504,10 +504,10 @@ def _(t):
     """select portfolio_id, security_id, sum(quantity) as total_quantity, sum(case when lot_kind = 0 or lot_date < date '2023-10-30' then quantity else 0 end) as sellable_quantity, 0 as locked_quantity,
        sum(case when lot_kind = 1 and lot_date >= date '2023-10-30' then quantity else 0 end) as unsellable_quantity, sum(cents) / 100.0 as cost_basis from remaining group by 1, 2""",
     TRADE_VIEWS,
-    FIFO_STEPS[:1] + tuple((n, b.replace("from trades_src)", "from trades_src where execution_date <= date '2023-10-30')")) for n, b in FIFO_STEPS[1:]),
+    FIFO_STEPS,
 )
 def _(t):
-    return led.position_view(_trades(t), t.actions, t.cal, "2023-12-31")
+    return led.position_view(_trades(t), t.actions, t.cal, "2023-10-30")
 
 
 def _nav(t):

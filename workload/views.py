@@ -92,7 +92,7 @@ b as (
   select portfolio_id, k, d as execution_date, 'buy' as side, sum(q)*100 as quantity from l group by portfolio_id, k, d
   union all
   select portfolio_id, k, cast(d + interval 21 days as date) as execution_date, 'sell' as side, cast(floor(sum(q)/2.0) as bigint)*100 as quantity
-  from l where flag = 'A' group by portfolio_id, k, d)
+  from l where flag = 'A' and d <= (select cast(max(d) - interval 21 days as date) from l) group by portfolio_id, k, d)
 select portfolio_id, {_security('k')} as security_id, execution_date, side, cast(quantity as bigint) as quantity,
   cast(cast(1000 + (cast(quantity / 100 as bigint) * 7 + portfolio_id * 13 + k * 31) % 200 as decimal(18,6))/100 as decimal(18,6)) as price
 from b where quantity > 0
