@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "research", "trading")
+MODULES = ("market", "research", "trading", "evidence")
 
 
 def all_cases():
