@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "research", "trading", "evidence")
+MODULES = ("market", "research", "trading", "evidence", "landing")
 
 
 def all_cases():
