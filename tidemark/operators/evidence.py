@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.contracts import duplicate_keys, union_all, violation
 from tidemark.functions.scalars import cash_identity, clean_fragment, compact_date, date_identity, epoch_ms_to_local, minute_text, normalize_page_text
 from tidemark.operators.asof import asof_join, running_sum
+from tidemark.staging import stage
 
 # Word lists and patterns of the announcement vocabulary.
 BUSINESS_PATTERN = "权益分派|分红|派息|现金红利|送股|转增|配股"
@@ -313,7 +314,9 @@ def quote_around(text: Column, start: Column, stop: Column) -> Column:
     return F.when(F.length(quote) < 15, wide).otherwise(quote)
 
 
-def _candidates(pages: DataFrame, field: str, patterns: Sequence[str], group: int = 1, base: int = 0) -> DataFrame:
+def _candidates(pages: DataFrame, field: str, anchors: Sequence[str], patterns: Sequence[str], group: int = 1, base: int = 0) -> DataFrame:
+    """Matches of a field's patterns; pages without any of its anchor words are skipped unscanned."""
+    pages = pages.where(_contains_any(F.col("text"), anchors))
     found = [F.transform(find_matches(F.col("text"), p, group), lambda m, i=i: F.struct(F.lit(base + i).alias("pattern"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"))) for i, p in enumerate(patterns)]
     rows = pages.select("doc_id", "page_no", "text", F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("m"))
     return rows.select("doc_id", F.lit(field).alias("field"), "page_no", F.col("m.pattern").alias("pattern"), F.col("m.start").alias("start"), clean_fragment("m.value").alias("value"), quote_around(F.col("text"), F.col("m.start"), F.col("m.stop")).alias("quote"))
@@ -321,23 +324,24 @@ def _candidates(pages: DataFrame, field: str, patterns: Sequence[str], group: in
 
 def notice_candidates(pages: DataFrame) -> DataFrame:
     """Every candidate value of every field with page and quote, exact repeats removed."""
-    clean = pages.select("doc_id", "page_no", normalize_page_text("text").alias("text"))
+    # Every field scans the same normalised pages, so they are written once.
+    clean = stage(pages.select("doc_id", "page_no", normalize_page_text("text").alias("text")).repartition("doc_id", "page_no"), "notice-text")
     following = Window.partitionBy("doc_id").orderBy("page_no")
     edges = clean.withColumn("_next", F.lead("text").over(following)).where(F.col("_next").isNotNull())
     tail = F.expr(f"substring(text, greatest(1, length(text) - {BOUNDARY - 1}), {BOUNDARY})")
     head = F.substring(F.regexp_replace("_next", r"^\d{1,3}\s+", ""), 1, BOUNDARY)
     borders = edges.select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.concat(tail, F.lit(" "), head).alias("text"))
     parts = [
-        _candidates(clean, "cash", CASH_PATTERNS),
-        _candidates(clean, "record_date", RECORD_DATE_PATTERNS),
-        _candidates(clean, "record_date", (DATE_TABLE,), 1, 90),
-        _candidates(clean, "ex_date", EX_DATE_PATTERNS),
-        _candidates(clean, "ex_date", (DATE_TABLE,), 2, 90),
-        _candidates(clean, "announcement_date", (ANNOUNCEMENT_PATTERN,)),
-        _candidates(borders, "announcement_date", (ANNOUNCEMENT_PATTERN,), 1, 90),
-        _candidates(clean, "nonzero_share", SHARE_PATTERNS),
-        _candidates(clean, "no_share", NO_SHARE_PATTERNS),
-        _candidates(clean, "no_transfer", NO_TRANSFER_PATTERNS),
+        _candidates(clean, "cash", ("含",), CASH_PATTERNS),
+        _candidates(clean, "record_date", ("股权登记日",), RECORD_DATE_PATTERNS),
+        _candidates(clean, "record_date", ("最后交易日",), (DATE_TABLE,), 1, 90),
+        _candidates(clean, "ex_date", ("除权", "除息日"), EX_DATE_PATTERNS),
+        _candidates(clean, "ex_date", ("最后交易日",), (DATE_TABLE,), 2, 90),
+        _candidates(clean, "announcement_date", ("董事会", "监事会"), (ANNOUNCEMENT_PATTERN,)),
+        _candidates(borders, "announcement_date", ("董事会", "监事会"), (ANNOUNCEMENT_PATTERN,), 1, 90),
+        _candidates(clean, "nonzero_share", ("送", "增"), SHARE_PATTERNS),
+        _candidates(clean, "no_share", ("不", "仅"), NO_SHARE_PATTERNS),
+        _candidates(clean, "no_transfer", ("不",), NO_TRANSFER_PATTERNS),
     ]
     every = union_all(parts)
     # Border pages come after all pages in the search order.
