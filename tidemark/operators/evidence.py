@@ -319,7 +319,13 @@ def _candidates(pages: DataFrame, field: str, anchors: Sequence[str], patterns:
     pages = pages.where(_contains_any(F.col("text"), anchors))
     found = [F.transform(find_matches(F.col("text"), p, group), lambda m, i=i: F.struct(F.lit(base + i).alias("pattern"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"))) for i, p in enumerate(patterns)]
     rows = pages.select("doc_id", "page_no", "text", F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("m"))
-    return rows.select("doc_id", F.lit(field).alias("field"), "page_no", F.col("m.pattern").alias("pattern"), F.col("m.start").alias("start"), clean_fragment("m.value").alias("value"), quote_around(F.col("text"), F.col("m.start"), F.col("m.stop")).alias("quote"))
+    # A quote never reaches further than 240 characters: cut that context out of the page once.
+    origin = F.greatest(F.lit(0), F.col("m.start") - 240)
+    near = rows.select("doc_id", "page_no", "m", origin.alias("_o"), F.substring(F.col("text"), origin + 1, F.col("m.stop") + 240 - origin).alias("_ctx"))
+    return near.select(
+        "doc_id", F.lit(field).alias("field"), "page_no", F.col("m.pattern").alias("pattern"), F.col("m.start").alias("start"),
+        clean_fragment("m.value").alias("value"), quote_around(F.col("_ctx"), F.col("m.start") - F.col("_o"), F.col("m.stop") - F.col("_o")).alias("quote"),
+    )
 
 
 def notice_candidates(pages: DataFrame) -> DataFrame:

@@ -285,7 +285,8 @@ def _pages(t):
         first_page = F.concat(F.coalesce("text", F.lit("")), F.lit("。本次权益分派方案："), amount, F.lit("（含税）。"), share, F.lit("。股权登记日：　"), day("record_date"), F.lit("，除权除息日："), day("ex_date"), F.lit("。"), second, F.when(F.col("doc_id") % 3 == 0, F.lit("特此公告。某某股份有限公司董事会")).otherwise(""))
         last_page = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("2 ")).otherwise(F.lit("特此公告。某某股份有限公司董事会 ")), day("ann"))
         page = F.posexplode(F.array(first_page, last_page))
-        return notices.select("doc_id", "security_id", page.alias("p", "text")).select("doc_id", "security_id", (F.col("p") + 1).alias("page_no"), "text")
+        pages = notices.select("doc_id", "security_id", page.alias("p", "text"))
+        return pages.select("doc_id", "security_id", (F.col("p") + 1).alias("page_no"), "text").repartition("doc_id")
 
     return t.landed("notice_pages", build)
 
