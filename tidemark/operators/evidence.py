@@ -321,10 +321,10 @@ def _candidates(pages: DataFrame, field: str, anchors: Sequence[str], patterns:
     rows = pages.select("doc_id", "page_no", "text", F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("m"))
     # A quote never reaches further than 240 characters: cut that context out of the page once.
     origin = F.greatest(F.lit(0), F.col("m.start") - 240)
-    near = rows.select("doc_id", "page_no", "m", origin.alias("_o"), F.substring(F.col("text"), origin + 1, F.col("m.stop") + 240 - origin).alias("_ctx"))
-    return near.select(
-        "doc_id", F.lit(field).alias("field"), "page_no", F.col("m.pattern").alias("pattern"), F.col("m.start").alias("start"),
-        clean_fragment("m.value").alias("value"), quote_around(F.col("_ctx"), F.col("m.start") - F.col("_o"), F.col("m.stop") - F.col("_o")).alias("quote"),
+    return rows.select(
+        "doc_id", F.lit(field).alias("field"), "page_no", F.col("m.pattern").alias("pattern"), F.col("m.start").alias("start"), F.col("m.value").alias("value"),
+        (F.col("m.start") - origin).alias("_from"), (F.col("m.stop") - origin).alias("_to"),
+        F.substring(F.col("text"), origin + 1, F.col("m.stop") + 240 - origin).alias("_ctx"),
     )
 
 
@@ -349,7 +349,9 @@ def notice_candidates(pages: DataFrame) -> DataFrame:
         _candidates(clean, "no_share", ("不", "仅"), NO_SHARE_PATTERNS),
         _candidates(clean, "no_transfer", ("不",), NO_TRANSFER_PATTERNS),
     ]
-    every = union_all(parts)
+    # Ten scans meet here; written once, the citation logic is planned once, not per scan.
+    matches = stage(union_all(parts), "notice-matches")
+    every = matches.withColumn("value", clean_fragment("value")).withColumn("quote", quote_around(F.col("_ctx"), F.col("_from"), F.col("_to")))
     # Border pages come after all pages in the search order.
     order = F.struct((F.col("pattern") >= 90).cast("int").alias("late"), "page_no", "pattern", "start")
     return every.groupBy("doc_id", "field", "value", "quote").agg(F.min(order).alias("ord")).select("doc_id", "field", "value", "quote", "ord", F.col("ord.page_no").alias("page_no"))
