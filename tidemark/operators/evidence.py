@@ -304,7 +304,7 @@ def quote_around(text: Column, start: Column, stop: Column) -> Column:
 
     end = F.length(text)
     back = F.greatest(F.lit(0), start - 240)
-    tail = F.regexp_extract(cut(back, start), "(?s)([^。；！？]*)$", 1)
+    tail = F.regexp_replace(cut(back, start), "(?s)^.*[。；！？]", "")
     open_ = F.length(tail) == start - back
     left = F.when(open_, F.greatest(F.lit(0), start - 120)).otherwise(start - F.length(tail))
     head = F.regexp_extract(cut(stop, F.least(end, stop + 240)), "(?s)^([^。；！？]*[。；！？])", 1)
