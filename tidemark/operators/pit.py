@@ -91,8 +91,9 @@ def pit_query_many(df: DataFrame, asofs: DataFrame) -> DataFrame:
         {
             "start": pa.array(days, pa.date32()),
             "stop": pa.array([d - dt.timedelta(days=1) for d in days[1:]] + [days[-1]], pa.date32()),
-            "own": pa.array([by_day[d] for d in days], pa.list_(pa.timestamp("us"))),
-            "later": pa.array([by_day[d][0] for d in days[1:]] + [None], pa.timestamp("us")),
+            # As text: a naive Arrow timestamp would be read in the session time zone.
+            "own": pa.array([[str(t) for t in by_day[d]] for d in days], pa.list_(pa.string())),
+            "later": pa.array([str(by_day[d][0]) for d in days[1:]] + [None], pa.string()),
         }
     )
     lookup = df.sparkSession.createDataFrame(table).select(
@@ -106,7 +107,7 @@ def pit_query_many(df: DataFrame, asofs: DataFrame) -> DataFrame:
     rows = df.withColumn("_stamp", stamp)
     joined = rows.join(F.broadcast(lookup), F.to_date("_stamp") == F.col("_day"), "left")
     same_day = F.array_min(F.filter("_own", lambda t: t >= F.col("_stamp")))
-    first = F.lit(stamps[0]).cast("timestamp_ntz")
+    first = F.lit(str(stamps[0])).cast("timestamp_ntz")
     value = F.when(F.col("_stamp") <= first, first).otherwise(F.coalesce(same_day, F.col("_later")))
     return joined.withColumn("visible_from", value).drop("_stamp", "_day", "_own", "_later")
 
