@@ -96,7 +96,7 @@ def future_return_labels(
     )
 
 
-def query_labels(labels: DataFrame, ids: Sequence[str], entry_ts: object, exit_ts: object, spec: str = LABEL_SPEC, check: bool = True) -> DataFrame:
+def query_labels(labels: DataFrame, ids: Sequence[str] | DataFrame, entry_ts: object, exit_ts: object, spec: str = LABEL_SPEC, check: bool = True) -> DataFrame:
     """Exact entry, exit and spec match on a contract-checked label table."""
     if spec != LABEL_SPEC:
         raise ContractViolation(f"unsupported label spec: {spec}")
@@ -104,13 +104,13 @@ def query_labels(labels: DataFrame, ids: Sequence[str], entry_ts: object, exit_t
     if check:
         no_manifest = violation(labels, F.col("corporate_action_manifest").isNull(), "LABEL_WITHOUT_MANIFEST", ["security_id"])
         enforce(union_all([pit_basis_violations(labels), no_manifest]))
-    wanted = sorted({str(i).zfill(6) for i in ids})
     picked = labels.where(
-        pad_id("security_id").isin(wanted)
-        & (F.col("entry_ts") == timestamp_literal(entry_ts))
-        & (F.col("exit_ts") == timestamp_literal(exit_ts))
-        & (F.col("label_spec") == spec)
+        (F.col("entry_ts") == timestamp_literal(entry_ts)) & (F.col("exit_ts") == timestamp_literal(exit_ts)) & (F.col("label_spec") == spec)
     )
+    if isinstance(ids, DataFrame):
+        picked = picked.join(ids.select("security_id").distinct(), "security_id", "left_semi")
+    else:
+        picked = picked.where(pad_id("security_id").isin(sorted({str(i).zfill(6) for i in ids})))
     defaults = {"status": OK, "evidence_status": EVIDENCE_TAINTED}
     return picked.withColumns({name: F.coalesce(F.col(name), F.lit(value)) if name in labels.columns else F.lit(value) for name, value in defaults.items()})
 

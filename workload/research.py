@@ -388,8 +388,7 @@ def _(t):
 )
 def _(t):
     table = _build_labels(t, manifest=True).withColumn("snapshot_id", F.lit("s1")).withColumn("label_spec", F.lit(lab.LABEL_SPEC))
-    wanted = [row["security_id"] for row in t.master.select("security_id").limit(100_000).collect()]
-    return lab.query_labels(table, wanted, f"{t.cal.dates[101]} 09:30:00", f"{t.cal.dates[106]} 09:30:00")
+    return lab.query_labels(table, t.master, f"{t.cal.dates[101]} 09:30:00", f"{t.cal.dates[106]} 09:30:00")
 
 
 def _predictions(t):
