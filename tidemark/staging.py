@@ -8,26 +8,52 @@ columns, and Spark knows the real size when it picks a join.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: list[str] = []
+SETTING = "spark.checkpoint.dir"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's shared ``spark.checkpoint.dir``; a temporary folder only when unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="tidemark-stage-"))
-    return _LOCAL_ROOT[0]
+    """The session's shared ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of the warehouse, which every node of a cluster reaches
+    too, is set for the session. Nothing is ever staged in a machine-local folder.
+    """
+    configured = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+        spark.conf.set(SETTING, configured)
+    return configured.rstrip("/")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(id(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[int, list[str]] = {}
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove staged folders (all of the session's own, or ``paths``); results read from them must be saved before."""
+    written = _WRITTEN.setdefault(id(spark), [])
+    for path in list(written) if paths is None else paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        written.remove(path)
+
+
+@contextmanager
+def staging_scope(spark: SparkSession):
+    """Remove what was staged inside once the block ends."""
+    before = set(_WRITTEN.setdefault(id(spark), []))
+    try:
+        yield
+    finally:
+        release(spark, [p for p in _WRITTEN[id(spark)] if p not in before])
