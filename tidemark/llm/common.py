@@ -44,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(column: pa.Array, limit: int = RUN_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, byte offsets, bytes) of runs of rows; null texts are empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     rows = len(column)
@@ -53,6 +53,7 @@ def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, n
     lo = 0
     while lo < rows:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+        hi = min(hi, lo + most)
         yield lo, hi, offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
         lo = hi
 
@@ -66,6 +67,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    heads: tuple[np.ndarray, ...] = ()
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,13 +89,16 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def words(offsets: np.ndarray, data: np.ndarray, lower: bool = True, drop: np.ndarray | None = None) -> Words:
-    """Split a run into words and hash each to 64 bits, A-Z lower-cased; ``drop`` marks byte values that count as white space."""
+def words(offsets: np.ndarray, data: np.ndarray, lower: bool = True, drop: np.ndarray | None = None, heads: tuple[int, ...] = ()) -> Words:
+    """Split a run into words and hash each to 64 bits, A-Z lower-cased.
+
+    ``drop`` marks byte values that count as white space; ``heads`` asks for hashes of the first so many bytes of each word too.
+    """
     n = len(data)
     rows = len(offsets) - 1
     empty = np.zeros(0, np.int64)
     if not n:
-        return Words(np.zeros(0, np.uint64), empty, empty, empty, np.zeros(rows + 1, np.int64))
+        return Words(np.zeros(0, np.uint64), empty, empty, empty, np.zeros(rows + 1, np.int64), tuple(np.zeros(0, np.uint64) for _ in heads))
     if lower:
         data = _LOWER[data]
     space = (_IS_SPACE if drop is None else _IS_SPACE | drop)[data]
@@ -107,8 +112,12 @@ def words(offsets: np.ndarray, data: np.ndarray, lower: bool = True, drop: np.nd
     up, down = _tables(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Words(hashed, np.searchsorted(offsets, start, side="right") - 1, start, end, np.searchsorted(start, offsets))
+
+    def hashes(stop: np.ndarray) -> np.ndarray:
+        return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    beginnings = tuple(mix(hashes(np.minimum(end, start + k)) + np.uint64(k)) for k in heads)
+    return Words(hashes(end), np.searchsorted(offsets, start, side="right") - 1, start, end, np.searchsorted(start, offsets), beginnings)
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
