@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents
+from tidemark.llm.class_lm import perplexity_scores
+from tidemark.llm.common import documents, labels
+from tidemark.llm.language_id import identify
 from tidemark.llm.mixing import mix, mix_sql
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality, quality_sql
 from tidemark.llm.substring_dedup import dedup_units, dedup_units_sql
+from tidemark.llm.toxicity import toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +24,18 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).rows
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = dedup_units(documents(spark, sf_dir).select("doc_id", "text"))
     spans = F.array_join(F.transform("_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -36,7 +47,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op6_minhash_near_dedup, op8_substring_dedup, op9_best_fit_packing)}
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity_scores(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_language_id, op6_minhash_near_dedup, op7_toxicity, op8_substring_dedup, op9_best_fit_packing, op10_class_lm)}
 
 #: DuckDB SQL of the same rows. Components of near duplicates: all pairs with a shingle in common, then reachability.
 NEAR_SQL = r"""
