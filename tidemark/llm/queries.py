@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.class_lm import perplexity_scores
 from tidemark.llm.common import documents, labels
+from tidemark.llm.document_fingerprints import fingerprints
 from tidemark.llm.language_id import identify
 from tidemark.llm.mixing import mix, mix_sql
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality, quality_sql
 from tidemark.llm.substring_dedup import dedup_units, dedup_units_sql
+from tidemark.llm.token_counts import section_tokens
 from tidemark.llm.toxicity import toxicity
 
 
@@ -28,6 +30,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(documents(spark, sf_dir))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -51,7 +61,7 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity_scores(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_language_id, op6_minhash_near_dedup, op7_toxicity, op8_substring_dedup, op9_best_fit_packing, op10_class_lm)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_language_id, op4_document_fingerprints, op5_token_counts, op6_minhash_near_dedup, op7_toxicity, op8_substring_dedup, op9_best_fit_packing, op10_class_lm)}
 
 #: DuckDB SQL of the same rows. Components of near duplicates: all pairs with a shingle in common, then reachability.
 NEAR_SQL = r"""
