@@ -9,13 +9,17 @@ A document is its set of distinct ``shingle``-word shingles. Two documents are l
    that has fewer than ``matches`` tokens left: it cannot collide ``matches`` times with any other.
    Classes that reach it post only their rarest tokens, all but ``matches - 1`` of them: a pair that
    collides often enough meets in one of these lists, and the long lists are passed over.
-3. *Support.* A link needs percent % of a set's shingles to occur in another candidate. The full sets
-   of the candidates are built again from their texts, and classes without that support leave.
+3. *Support.* Only shingles that occur in another candidate can be common to a pair. The full sets of
+   the candidates are built again from their texts and those shingles counted; a class leaves when they
+   are too few for any link, and a pair is passed over when they are too few for its two sizes.
 4. *Leaders.* Each list is compared with two of its members instead of all pairs within it, the
    one with most tokens in common with others (the least edited copy) and one by hash. Collisions
    are counted on whole signatures, and links confirmed on full sets.
-5. *The rest, exactly.* Lists whose members are now in one component are done. In the others only
-   pairs of members of different components are compared.
+5. *The rest, exactly.* Lists whose members are now in one component are done. Members of the others
+   are met again by prefixes of their full sets: a link has percent % of either set in common, so
+   the pair shares one of the rarest shingles of both, all but percent % of the set. Shingles of one
+   component alone cannot be shared across and come first, and what is left of both sets after a
+   shared shingle must suffice, so copies with edits of their own do not meet in the common text. Only pairs of different components are compared.
 
 No group is gathered in one task: lists are joined, so Spark can split a hot list, and every table
 that is read again is staged. The chance that a link of exactly 0.85 has under 42 of 64 collisions
@@ -137,8 +141,10 @@ def _confirm(pairs: DataFrame, held: DataFrame, percent: int, matches: int) -> D
     return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
-def _alike_in_size(x: Column, y: Column, percent: int) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _may_link(x: Column, y: Column, percent: int) -> Column:
+    """Whether two classes, given as structs of n and support, can be similar enough: no more than either's support is common."""
+    most = F.least(x["support"], y["support"])
+    return most * (100 + percent) >= (x["n"] + y["n"]) * percent
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -178,22 +184,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     support = each.join(common, "_s").groupBy("cls").agg(F.count("*").alias("_common"))
     lasting = able.join(support, "cls").where(F.col("_common") * 100 >= F.col("n") * percent)
     prefix = F.expr(f"slice(_posts, 1, size(_posts) - {matches - 1})")
-    posted = stage(lasting.select("cls", "n", F.size("_posts").alias("_weight"), F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")), "posted")
+    posted = stage(lasting.select("cls", F.struct("n", F.col("_common").alias("support")).alias("size"), F.size("_posts").alias("_weight"), F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")), "posted")
 
     # Each list beside two of its members.
-    leading = posted.groupBy("token").agg(F.max(F.struct("_weight", F.xxhash64("cls"), "cls", "n")).alias("_x"), F.max(F.struct(F.xxhash64("cls"), "cls", "n")).alias("_y"))
-    leading = leading.select("token", F.explode(F.array_distinct(F.array(F.struct("_x.cls", "_x.n"), F.struct("_y.cls", "_y.n")))).alias("_l"))
-    beside = posted.join(leading, "token").where((F.col("cls") != F.col("_l.cls")) & _alike_in_size(F.col("n"), F.col("_l.n"), percent))
+    leading = posted.groupBy("token").agg(F.max(F.struct("_weight", F.xxhash64("cls"), "cls", "size")).alias("_x"), F.max(F.struct(F.xxhash64("cls"), "cls", "size")).alias("_y"))
+    leading = leading.select("token", F.explode(F.array_distinct(F.array(F.struct("_x.cls", "_x.size"), F.struct("_y.cls", "_y.size")))).alias("_l"))
+    beside = posted.join(leading, "token").where((F.col("cls") != F.col("_l.cls")) & _may_link(F.col("size"), F.col("_l.size"), percent))
     tried = stage(_ordered(beside, F.col("cls"), F.col("_l.cls")), "tried")
     links = stage(_confirm(tried, held, percent, matches), "found")
     labels = components(links)
 
-    # Lists that still hold several components: pairs across them, but for those tried.
-    placed = posted.join(labels, posted["cls"] == labels["node"], "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    # Members of lists that still hold several components: pairs across them that share one of the
+    # rarest shingles of either, as many as a link cannot do without, but for those tried.
+    placed = posted.join(labels, posted["cls"] == labels["node"], "left").select("token", "cls", "size", F.coalesce("component", "cls").alias("component"))
     split = placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("token")
-    open_lists = stage(placed.join(split, "token"), "open")
-    other = open_lists.select("token", F.col("cls").alias("_c"), F.col("n").alias("_n"), F.col("component").alias("_k"))
-    across = open_lists.join(other, "token").where((F.col("cls") < F.col("_c")) & (F.col("component") != F.col("_k")) & _alike_in_size(F.col("n"), F.col("_n"), percent))
+    unsettled = stage(placed.join(split, "token").groupBy("cls").agg(F.first("component").alias("component")), "open")
+    each = held.join(unsettled, "cls").select("cls", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("_s"))
+    across = each.groupBy("_s").agg(F.count("*").alias("_df"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("_s", "_df")
+    ranked = each.join(across, "_s").groupBy("cls").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("_df", "_s"))).alias("_ranked"))
+    ranked = ranked.withColumn("_reach", F.expr(f"size(_ranked) - (n * {percent} + 99) div 100 + 1")).where("_reach > 0")
+    first = ranked.select("cls", "component", "n", F.size("_ranked").alias("_all"), F.posexplode(F.expr("transform(slice(_ranked, 1, int(_reach)), x -> x._s)")).alias("_at", "_s"))
+    # From its first common shingle on, a pair has no more in common than either has left.
+    first = stage(first.select("cls", "component", "_s", F.struct("n", (F.col("_all") - F.col("_at")).cast("long").alias("support")).alias("size")), "rarest")
+    other = first.select("_s", F.col("cls").alias("_c"), F.col("size").alias("_size"), F.col("component").alias("_k"))
+    across = first.join(other, "_s").where((F.col("cls") < F.col("_c")) & (F.col("component") != F.col("_k")) & _may_link(F.col("size"), F.col("_size"), percent))
     untried = _ordered(across, F.col("cls"), F.col("_c")).join(tried, ["a", "b"], "left_anti")
     late = stage(_confirm(untried, held, percent, matches), "found")
     if not late.isEmpty():
@@ -201,7 +215,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     # Back to rows: the least doc_id of each component.
     rows = signed.select("doc_id", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("_component"))
-    least = rows.where("n > 0").groupBy("_component").agg(F.min("doc_id").alias("_least"))
+    least = stage(rows.where("n > 0").groupBy("_component").agg(F.min("doc_id").alias("_least")), "least")
     out = rows.join(least, "_component", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
