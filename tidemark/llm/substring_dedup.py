@@ -1,7 +1,7 @@
 r"""Substring dedup by hashing small units of text.
 
-A text is cut after every line end, after the white space that follows . ! or ?, and before an
-upper-case letter that follows a blank: sentence-sized units, so that a passage is found wherever in
+A text is cut after every line end, after the white space that follows . ! or ?, and before a
+capitalised word that follows a blank: sentence-sized units, so that a passage is found wherever in
 a line it stands. Units are compared without case and punctuation. Of equal units the earliest in
 (doc_id, place) order stays. Others are removed where an unbroken run of them has ``min_words`` words,
 so that short phrases which texts share by chance are left alone.
@@ -27,7 +27,7 @@ from tidemark.staging import stage
 
 MIN_WORDS = 25
 _MARK = "\x01"
-_CUT = regex.compile(r"\n|[.!?][ \t]+|[ \t](?=\p{Lu})")
+_CUT = regex.compile(r"\n|[.!?][ \t]+|[ \t](?=\p{Lu}\p{Ll})")
 _NOISE = regex.compile(r"[^\p{L}\p{N}\x01]+")
 _EMPTY = np.zeros(0, np.int64)
 
@@ -113,7 +113,7 @@ def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_units_sql(min_words: int = MIN_WORDS) -> str:
     """doc_id, n_repeated, n_removed, removed_chars, spans and clean_sha256 as DuckDB SQL."""
     return rf"""
-with marked as (select doc_id, text, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '(\n|[.!?][ \t]+)', '\1' || chr(1), 'g'), '([ \t])(\p{{Lu}})', '\1' || chr(1) || '\2', 'g') as m from documents),
+with marked as (select doc_id, text, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '(\n|[.!?][ \t]+)', '\1' || chr(1), 'g'), '([ \t])(\p{{Lu}}\p{{Ll}})', '\1' || chr(1) || '\2', 'g') as m from documents),
 cut as (select doc_id, unnest(range(0, len(string_split(m, chr(1))))) as i, unnest(string_split(m, chr(1))) as raw, unnest(list_transform(string_split(regexp_replace(lower(m), '[^\p{{L}}\p{{N}}\x01]+', ' ', 'g'), chr(1)), lambda x: trim(x))) as normal from marked),
 placed as (select *, coalesce(sum(length(raw)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as s from cut),
 held as (select doc_id, i, raw, normal, s, row_number() over (partition by doc_id order by i) as place from placed where normal <> ''),
