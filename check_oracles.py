@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -31,7 +32,7 @@ def main() -> int:
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     parser.add_argument("--zone", default="UTC")
     args = parser.parse_args()
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": args.zone})
+    spark = build_session("check", "local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="checks-"), "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": args.zone})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for table in TABLES:

@@ -19,6 +19,7 @@ from tidemark.functions.scalars import clock, decimal_or_zero, market_close_ts,
 from tidemark.operators.asof import running_sum
 from tidemark.operators.calendar import SessionCalendar, next_session, with_session_idx
 from tidemark.operators.pit import latest_revision
+from tidemark.staging import stage
 
 POSITION = ["portfolio_id", "security_id"]
 LATE_REASON = "CA_AVAILABLE_AFTER_APPLICATION_ASOF"
@@ -188,7 +189,7 @@ def fifo_match(fills: DataFrame, grants: DataFrame | None = None, openings: Data
 
 
 def replay_ledger(fills: DataFrame, actions: DataFrame, cal: SessionCalendar, opening_cash: DataFrame, sell_orders: DataFrame | None = None, granted: DataFrame | None = None) -> DataFrame:
-    """Ledger entries with running position and cash.
+    """Ledger entries with running position, available cash and dividends receivable.
 
     Day order: pay dividends, corporate actions, sells, buys, then sell locks decided at
     the close. ``opening_cash`` is ``(portfolio_id, cash)``; ``sell_orders`` adds lock and
@@ -225,16 +226,37 @@ def replay_ledger(fills: DataFrame, actions: DataFrame, cal: SessionCalendar, op
         entries.append(entry(locks, "SELL_LOCK", F.col("decision_date"), 5, F.col("security_id"), reason=F.lit("SELL_INVENTORY_LOCKED"), locked=F.col("quantity")))
         unfilled = locks.where("status <> 'FILLED'")
         entries.append(entry(unfilled, "SELL_LOCK_RELEASE", F.col("next_session"), 3, F.concat(F.col("security_id"), F.lit("|r")), reason=F.lit("SELL_INVENTORY_LOCK_RELEASED"), locked=-F.col("quantity")))
-    rows = union_all(entries)
+    # Read twice by the running sums: staged, so that its inputs are computed once.
+    rows = stage(union_all(entries).withColumn("_one", F.lit(1)), "ledger-rows")
     by_position = Window.partitionBy(*POSITION).orderBy("trade_date", "phase", "sub_order").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"position_quantity_after": F.sum("quantity_delta").over(by_position), "cost_basis_after": F.sum("cost_basis_delta").over(by_position)})
     sequence = ["phase", "sub_order", "security_id"]
-    rows = running_sum(rows, ["portfolio_id"], ["trade_date"], sequence, "cash_delta", "_cash")
-    rows = running_sum(rows.withColumn("_one", F.lit(1)), ["portfolio_id"], ["trade_date"], sequence, "_one", "event_id").drop("_one")
+    rows = running_sum(rows, ["portfolio_id"], ["trade_date"], sequence, ["cash_delta", "receivable_delta", "_one"], ["_cash", "_receivable", "event_id"]).drop("_one")
+    rows = rows.withColumns({
+        "position_quantity_after": F.sum("quantity_delta").over(by_position),
+        "cost_basis_after": F.sum("cost_basis_delta").over(by_position),
+        "locked_quantity_after": F.sum("locked_quantity_delta").over(by_position),
+    })
     return (
         rows.join(opening_cash.select("portfolio_id", F.col("cash").cast("decimal(18,2)").alias("_open")), "portfolio_id", "left")
         .withColumn("cash_after", (F.coalesce("_open", zero) + F.col("_cash")).cast("decimal(18,2)"))
-        .drop("_open", "_cash", "phase", "sub_order")
+        .withColumn("receivable_after", F.col("_receivable").cast("decimal(18,2)"))
+        .drop("_open", "_cash", "_receivable", "phase", "sub_order")
+    )
+
+
+def ledger_violations(entries: DataFrame) -> DataFrame:
+    """States that no ledger may reach: overdrawn cash, receivables paid twice, oversold or over-released positions.
+
+    Each is tested on its own running state, so an accrued dividend does not hide spent cash.
+    """
+    key = ["portfolio_id", "security_id", "trade_date", "event_id"]
+    return union_all(
+        [
+            violation(entries, F.col("cash_after") < 0, "NEGATIVE_CASH", key, F.col("cash_after")),
+            violation(entries, F.col("receivable_after") < 0, "NEGATIVE_RECEIVABLE", key, F.col("receivable_after")),
+            violation(entries, F.col("position_quantity_after") < 0, "NEGATIVE_POSITION", key, F.col("position_quantity_after")),
+            violation(entries, F.col("locked_quantity_after") < 0, "NEGATIVE_LOCK", key, F.col("locked_quantity_after")),
+        ]
     )
 
 
@@ -304,7 +326,8 @@ def daily_nav(entries: DataFrame, bars: DataFrame, cal: SessionCalendar, opening
     """NAV per (portfolio, session) from the first entry to the last session.
 
     Positions change only at entries, so each change spans the sessions up to the next
-    one; those spans meet the marks on (security, session).
+    one; those spans meet the marks on (security, session). Oversold positions count with
+    their negative value; ``ledger_violations`` reports them.
     """
     zero = F.lit(0).cast("decimal(18,2)")
     located = _on_session(with_session_idx(entries, cal, "trade_date", "_i"), "_i", "trade_date")
@@ -314,7 +337,7 @@ def daily_nav(entries: DataFrame, bars: DataFrame, cal: SessionCalendar, opening
     states = moves.select(
         *POSITION, F.col("_i").alias("_from"), F.coalesce(F.lead("_i").over(order) - 1, F.lit(cal.size - 1)).alias("_to"),
         F.sum("_dq").over(run).alias("_q"), F.sum("_dc").over(run).alias("_cost"),
-    ).where(F.col("_q") > 0)
+    ).where(F.col("_q") != 0)
     held = states.select(*POSITION, "_q", "_cost", F.explode(F.sequence("_from", "_to")).alias("_at"))
     marks = _marks(bars, held.select("security_id", "_at").distinct(), cal)
     close = F.when(F.col("_close").isNull(), F.raise_error(F.concat(F.lit("no visible close for held security "), F.col("security_id")))).otherwise(money("_close"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from tidemark.operators.asof import running_sum
 from tidemark.operators.calendar import SessionCalendar, listing_session_number, next_session
 from tidemark.operators.pit import latest_revision
 from tidemark.operators.returns import late_bar_violations
+from tidemark.staging import stage
 
 PRICE_TOLERANCE = 1e-9
 CLOSE_LOOKBACK = 60
@@ -257,15 +259,19 @@ def admit_by_cash(locked: DataFrame, cash: DataFrame, seq: str = "intent_seq", r
     opening = cash.select(*day, (F.col("available_cash") * 100).cast("bigint").alias("_left"))
     open_rows = slim.join(opening, day).where(F.col("_r") > 0)
     decided = []
-    for _ in range(rounds):
+    for number in range(rounds):
+        if number:
+            # Each round refers to its input several times: staged, so the plan stays one round long.
+            open_rows = stage(open_rows, "cash-round")
         fitting = open_rows.where(F.col("_r") <= F.col("_left")).withColumn("_chunk", F.floor(F.col("_seq") / 4096))
-        summed = running_sum(fitting, day, ["_chunk"], ["_seq", "security_id"], "_r", "_run").drop("_chunk")
+        summed = stage(running_sum(fitting, day, ["_chunk"], ["_seq", "security_id"], "_r", "_run").drop("_chunk"), "cash-round")
         inside = F.col("_run") <= F.col("_left")
         edge = summed.groupBy(*day).agg(F.max(F.when(inside, F.col("_run"))).alias("_spent"), F.min(F.when(~inside, F.struct("_seq", "security_id"))).alias("_stop"))
         placed = summed.join(edge, day)
         decided.append(placed.where(inside).select(*day, "security_id", "_seq"))
         beyond = ~inside & ~((F.col("_stop._seq") == F.col("_seq")) & (F.col("_stop.security_id") == F.col("security_id")))
         open_rows = placed.where(beyond).select(*day, "_seq", "security_id", "_r", (F.col("_left") - F.coalesce("_spent", F.lit(0))).alias("_left"))
+    open_rows = stage(open_rows, "cash-round") if rounds else open_rows
     rest = open_rows.where(F.col("_r") <= F.col("_left"))
     decided.append(_walk_cash(rest, day))
     accepted = union_all(decided).withColumn("_ok", F.lit(True)).withColumnRenamed("_seq", seq)
@@ -282,19 +288,35 @@ def admit_by_cash(locked: DataFrame, cash: DataFrame, seq: str = "intent_seq", r
     ).drop("_ok")
 
 
+def accept_in_order(reserves: np.ndarray, left: int, keep: np.ndarray) -> int:
+    """Mark in ``keep`` what greedy admission accepts and return the cash left: one step per rejection, not per order."""
+    at = np.flatnonzero(reserves <= left)
+    while len(at):
+        spent = np.cumsum(reserves[at])
+        fit = int(np.searchsorted(spent, left, side="right"))
+        keep[at[:fit]] = True
+        left -= int(spent[fit - 1]) if fit else 0
+        at = at[fit + 1 :]
+        at = at[reserves[at] <= left]
+    return left
+
+
 def _walk_cash(rows: DataFrame, day: list[str]) -> DataFrame:
     sorted_rows = rows.repartition(*day).sortWithinPartitions(*day, "_seq", "security_id")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, left = None, 0
         for batch in batches:
-            keep = []
-            for portfolio, date, reserve, opening in zip(batch["portfolio_id"], batch["decision_date"], batch["_r"], batch["_left"]):
-                if (portfolio, date) != current:
-                    current, left = (portfolio, date), opening
-                fits = reserve <= left
-                left -= reserve if fits else 0
-                keep.append(fits)
+            keep = np.zeros(len(batch), dtype=bool)
+            reserves = batch["_r"].to_numpy()
+            # Runs of one portfolio-day; the batch is sorted.
+            new_day = (batch[day] != batch[day].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(new_day) if len(batch) else []
+            for start, stop in zip(starts, [*starts[1:], len(batch)], strict=True):
+                here = tuple(batch[day].iloc[start])
+                if here != current:
+                    current, left = here, int(batch["_left"].iloc[start])
+                left = accept_in_order(reserves[start:stop], left, keep[start:stop])
             yield batch.loc[keep, ["portfolio_id", "decision_date", "security_id", "_seq"]]
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterable, Sequence
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.contracts import (
@@ -24,7 +22,6 @@ from tidemark.contracts import (
 from tidemark.functions.scalars import clock, is_exchange_stamp, market_close_ts, pad_id, timestamp_literal
 from tidemark.operators.calendar import SessionCalendar, next_session
 
-MAX_ASOFS = 100_000
 MASTER_TAINTED_FIELDS = ("is_st", "status")
 COMPANION_SUFFIXES = ("available_at", "point_in_time_capability", "evidence_level")
 APPLICABLE = "VISIBLE_APPLICABLE"
@@ -74,40 +71,23 @@ def pit_query_many(df: DataFrame, asofs: DataFrame) -> DataFrame:
 
     Visibility only grows with the as-of, so a table of as-ofs needs one value per
     row instead of one row per (row, as-of) pair: row r is in the answer of as-of t
-    exactly when ``visible_from <= t``. As-ofs are read once and their number is
-    checked; each row then does one equi lookup on its day.
+    exactly when ``visible_from <= t``. As-ofs become one row per calendar day, with the
+    day's own as-ofs and the first later one; each row then does one equi lookup on its day.
     """
-    listed = asofs.select(F.col("asof_ts").cast("timestamp_ntz").alias("t")).distinct().limit(MAX_ASOFS + 1).collect()
-    stamps = sorted(row["t"] for row in listed)
-    if not stamps:
+    stamps = asofs.select(F.col("asof_ts").cast("timestamp_ntz").alias("t")).where(F.col("t").isNotNull())
+    earliest = stamps.agg(F.min("t").cast("string")).first()[0]
+    if earliest is None:
         raise ContractViolation("no as-of given")
-    if len(stamps) > MAX_ASOFS:
-        raise ContractViolation(f"more than {MAX_ASOFS} as-ofs")
-    by_day: dict[dt.date, list[dt.datetime]] = {}
-    for stamp in stamps:
-        by_day.setdefault(stamp.date(), []).append(stamp)
-    days = sorted(by_day)
-    table = pa.table(
-        {
-            "start": pa.array(days, pa.date32()),
-            "stop": pa.array([d - dt.timedelta(days=1) for d in days[1:]] + [days[-1]], pa.date32()),
-            # As text: a naive Arrow timestamp would be read in the session time zone.
-            "own": pa.array([[str(t) for t in by_day[d]] for d in days], pa.list_(pa.string())),
-            "later": pa.array([str(by_day[d][0]) for d in days[1:]] + [None], pa.string()),
-        }
-    )
-    lookup = df.sparkSession.createDataFrame(table).select(
-        F.explode(F.sequence("start", "stop")).alias("_day"),
-        "start",
-        F.col("own").cast("array<timestamp_ntz>").alias("_own"),
-        F.col("later").cast("timestamp_ntz").alias("_later"),
-    )
-    lookup = lookup.select("_day", F.when(F.col("_day") == F.col("start"), F.col("_own")).alias("_own"), "_later")
+    days = stamps.groupBy(F.to_date("t").alias("_start")).agg(F.array_sort(F.collect_set("t")).alias("_own"), F.min("t").alias("_lo"))
+    # One row per day that has an as-of: calendar-sized.
+    order = Window.orderBy("_start")
+    spans = days.withColumns({"_stop": F.coalesce(F.date_sub(F.lead("_start").over(order), 1), F.col("_start")), "_later": F.lead("_lo").over(order)})
+    lookup = spans.select(F.explode(F.sequence("_start", "_stop")).alias("_day"), "_start", "_own", "_later")
+    lookup = lookup.select("_day", F.when(F.col("_day") == F.col("_start"), F.col("_own")).alias("_own"), "_later")
     stamp = F.greatest("available_at", "event_ts") if "event_ts" in df.columns else F.col("available_at")
-    rows = df.withColumn("_stamp", stamp)
-    joined = rows.join(F.broadcast(lookup), F.to_date("_stamp") == F.col("_day"), "left")
+    joined = df.withColumn("_stamp", stamp).withColumn("_day", F.to_date("_stamp")).join(lookup, "_day", "left")
     same_day = F.array_min(F.filter("_own", lambda t: t >= F.col("_stamp")))
-    first = F.lit(str(stamps[0])).cast("timestamp_ntz")
+    first = F.lit(earliest).cast("timestamp_ntz")
     value = F.when(F.col("_stamp") <= first, first).otherwise(F.coalesce(same_day, F.col("_later")))
     return joined.withColumn("visible_from", value).drop("_stamp", "_day", "_own", "_later")
 

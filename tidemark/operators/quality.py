@@ -90,7 +90,7 @@ def top_problems(detail: DataFrame, k: int = 15) -> DataFrame:
 
 
 def availability_diagnostics(actions: DataFrame) -> DataFrame:
-    """How announcement dates relate to ex-dates; ids with no lag are listed once each."""
+    """How announcement dates relate to ex-dates, as one row; ``zero_lag_ids`` lists the ids."""
     lag = F.datediff(F.col("ex_date"), F.col("announcement_date"))
     marked = actions.withColumn("_lag", lag)
     return marked.agg(
@@ -100,10 +100,14 @@ def availability_diagnostics(actions: DataFrame) -> DataFrame:
         F.min("_lag").alias("min_lag_days"),
         F.max("_lag").alias("max_lag_days"),
         F.count_if(F.col("_lag") == 0).alias("zero_lag"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("_lag") == 0, F.col("security_id")))), ";").alias("zero_lag_ids"),
     )
 
 
+def zero_lag_ids(actions: DataFrame) -> DataFrame:
+    """Securities announced on an ex-date, with how often: one row each."""
+    return actions.where(F.col("ex_date") == F.col("announcement_date")).groupBy("security_id").agg(F.count(F.lit(1)).alias("zero_lag"))
+
+
 def _counts(df: DataFrame, column: str, kind: str) -> DataFrame:
     return df.groupBy(F.col(column).cast("string").alias("item")).agg(F.count(F.lit(1)).alias("value")).select(F.lit(kind).alias("stat"), "item", "value")
 

@@ -16,6 +16,8 @@ from tidemark.operators.returns import NO_BARS, Timeline, lookback_windows, prep
 
 LOOKBACK = 231
 SKIP_RECENT = 21
+# Scores are quotients of running products: equal ones may differ in their last bits.
+RANK_DIGITS = 12
 RANKING_METHOD = "ordinal_descending_rank"
 
 
@@ -58,8 +60,8 @@ def score_dates(bars: DataFrame, cal: SessionCalendar, dates: Sequence[dt.date],
 
 
 def ordinal_rank(score: Column, by: Sequence[str], tie: str = "security_id") -> Column:
-    """1..n by score descending, then id; never shared."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(score.desc(), F.col(tie)))
+    """1..n by score (to ``RANK_DIGITS`` decimals) descending, then id; never shared."""
+    return F.row_number().over(Window.partitionBy(*by).orderBy(F.round(score, RANK_DIGITS).desc(), F.col(tie)))
 
 
 def momentum_signal(
@@ -112,10 +114,13 @@ def momentum_signal(
 
 
 def rank_points(points: DataFrame) -> DataFrame:
-    """Rank OK points per signal date and count the scorable universe."""
+    """Rank OK points per signal date and count the scorable universe.
+
+    Scores equal to ``RANK_DIGITS`` decimals are ranked by id.
+    """
     ok = F.col("status") == OK
     by_date = Window.partitionBy("signal_date")
-    ranked = points.withColumn("_r", F.row_number().over(by_date.orderBy(ok.desc(), F.col("momentum_score").desc(), F.col("security_id"))))
+    ranked = points.withColumn("_r", F.row_number().over(by_date.orderBy(ok.desc(), F.round("momentum_score", RANK_DIGITS).desc(), F.col("security_id"))))
     return ranked.withColumns(
         {
             "cross_sectional_rank": F.when(ok, F.col("_r")),

@@ -486,15 +486,20 @@ def _(t):
 
 @case(
     "q4_availability_diagnostics",
-    "announced:i announced_ratio:f8 fallback_to_ex_date:i min_lag_days:i max_lag_days:i zero_lag:i zero_lag_ids:s",
+    "announced:i announced_ratio:f8 fallback_to_ex_date:i min_lag_days:i max_lag_days:i zero_lag:i",
     """select count(announcement_date) as announced, avg(case when announcement_date is null then 0.0 else 1.0 end) as announced_ratio, count(*) - count(announcement_date) as fallback_to_ex_date, min(ex_date - announcement_date) as min_lag_days, max(ex_date - announcement_date) as max_lag_days,
-       count(*) filter (ex_date = announcement_date) as zero_lag, string_agg(distinct case when ex_date = announcement_date then security_id end, ';' order by case when ex_date = announcement_date then security_id end) as zero_lag_ids from actions""",
+       count(*) filter (ex_date = announcement_date) as zero_lag from actions""",
     ("actions",),
 )
 def _(t):
     return q.availability_diagnostics(t.actions)
 
 
+@case("q4_zero_lag_ids", "security_id:s zero_lag:i", "select security_id, count(*) as zero_lag from actions where ex_date = announcement_date group by 1", ("actions",))
+def _(t):
+    return q.zero_lag_ids(t.actions)
+
+
 def _stats_sql(parts: list[str]) -> str:
     return " union all ".join(parts)
 

@@ -115,7 +115,7 @@ select g.security_id, g.signal_date, g.score_date,
 from (select i.security_id, s.signal_date, s.score_date from (select distinct security_id from bars_src) i cross join scores s) g
 left join sr r on r.security_id = g.security_id and r.wid = g.signal_date"""
     ranked = """
-select *, case when status = 'OK' then row_number() over (partition by signal_date order by (case when status = 'OK' then 0 else 1 end), momentum_score desc, security_id) end as cross_sectional_rank,
+select *, case when status = 'OK' then row_number() over (partition by signal_date order by (case when status = 'OK' then 0 else 1 end), round(momentum_score, 12) desc, security_id) end as cross_sectional_rank,
   count(*) filter (status = 'OK') over (partition by signal_date) as universe_size from points0"""
     dates = f"select d, row_number() over (order by d) as rn from (select distinct trade_date as d from {bars})"
     return (("dates", dates), ("scores", score), *_replay_steps(bars, "s", windows), ("points0", final), ("points", ranked))
@@ -152,7 +152,7 @@ select p.signal_date, r.rank_ic, coalesce(u.n, 0) as sample_size, p.universe_siz
 from (select signal_date, max(universe_size) as universe_size from points group by 1) p
 left join (select signal_date, count(*) filter (is_usable) as n, count(*) filter (is_immature) as immature, count(*) filter (is_missing) as missing from usable group by 1) u using (signal_date)
 left join (select signal_date, 1.0 - cast(6 * sum((rs - rr) * (rs - rr)) as double) / cast(count(*) * (count(*) * count(*) - 1) as double) as rank_ic from
-  (select signal_date, row_number() over (partition by signal_date order by momentum_score desc, security_id) as rs, row_number() over (partition by signal_date order by future_return desc, security_id) as rr
+  (select signal_date, row_number() over (partition by signal_date order by round(momentum_score, 12) desc, security_id) as rs, row_number() over (partition by signal_date order by round(future_return, 12) desc, security_id) as rr
    from usable where is_usable) group by 1 having count(*) >= 2) r using (signal_date)"""
 FULL_STEPS = (*SIGNAL_STEPS, *LABEL_STEPS, ("usable", USABLE), ("ic", IC))
 
@@ -329,7 +329,7 @@ def _(t):
 QUANTILES = """
 select b.quantile, q.mean_future_return, coalesce(q.sample_count, 0) as sample_count from (values (1), (2), (3), (4), (5)) b(quantile) left join (
   select least(5, cast(floor((rn - 1) * 5 / n) as integer) + 1) as quantile, avg(future_return) as mean_future_return, count(*) as sample_count from (
-    select *, row_number() over (partition by signal_date order by momentum_score desc, security_id) as rn, count(*) over (partition by signal_date) as n from usable where is_usable) where n >= 2 group by 1) q using (quantile)"""
+    select *, row_number() over (partition by signal_date order by round(momentum_score, 12) desc, security_id) as rn, count(*) over (partition by signal_date) as n from usable where is_usable) where n >= 2 group by 1) q using (quantile)"""
 
 
 @case("a19_quantile_returns", "quantile:i mean_future_return:f8 sample_count:i", QUANTILES, BASE, FULL_STEPS)

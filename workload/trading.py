@@ -519,7 +519,7 @@ with mv as (
   select e.portfolio_id, c.trade_date, sum(e.q * (select round(arg_max(b.close, b.trade_date), 2) from bars b where b.security_id = e.security_id and b.close is not null and b.trade_date <= c.trade_date)) as mv, sum(e.c) / 100.0 as cost
   from (select portfolio_id, security_id, trade_date, lead(trade_date) over (partition by portfolio_id, security_id order by trade_date) as until, q, c from (
           select portfolio_id, security_id, trade_date, sum(sum(quantity_delta)) over (partition by portfolio_id, security_id order by trade_date rows unbounded preceding) as q, sum(sum(cost_cents)) over (partition by portfolio_id, security_id order by trade_date rows unbounded preceding) as c
-          from entries group by 1, 2, 3)) e join cal c on c.trade_date >= e.trade_date and (e.until is null or c.trade_date < e.until) where e.q > 0 group by 1, 2),
+          from entries group by 1, 2, 3)) e join cal c on c.trade_date >= e.trade_date and (e.until is null or c.trade_date < e.until) where e.q <> 0 group by 1, 2),
 d as (select portfolio_id, trade_date, sum(cash_cents) as cash, count(*) as n from entries group by 1, 2),
 r as (select portfolio_id, day, sum(x) as x from (select portfolio_id, ex_date as day, cast(accrued * 100 as bigint) as x from ent where accrued > 0 union all select portfolio_id, pay_date, -cast(accrued * 100 as bigint) from ent where accrued > 0 and pay_date is not null) group by 1, 2),
 g as (select p.portfolio_id, c.trade_date from (select portfolio_id, min(trade_date) as lo from entries group by 1) p join cal c on c.trade_date >= p.lo),
@@ -539,23 +539,114 @@ def _(t):
     return led.identity_violations(led.accounting_identity(_nav(t), _opening(t)))
 
 
+# One chained run: locked orders, fills, ledger with sell locks, NAV, summary.
+
+
+def _chain_entries(t):
+    def build():
+        filled = _fills(t).where("status = 'FILLED'")
+        return led.replay_ledger(filled, t.actions, t.cal, _chain_opening(t), _fills(t))
+
+    return t.landed("chain_entries", build)
+
+
+def _chain_opening(t):
+    return _intents(t).select("portfolio_id").distinct().withColumn("cash", F.lit("20000.00").cast("decimal(18,2)"))
+
+
+def _chain_nav(t):
+    return t.landed("chain_nav", lambda: led.daily_nav(_chain_entries(t), t.bars, t.cal, _chain_opening(t), _fills(t).where("status = 'FILLED'")))
+
+
+CHAIN_TRADES = """
+select portfolio_id, security_id, next_session as execution_date, side, locked_quantity as quantity, fee, case when side = 'sell' then gross - fee else gross + fee end as net
+from outcome where status = 'FILLED'"""
+LOCK_ENTRIES = """
+select *, 0 as locked from ledger0
+union all select portfolio_id, security_id, decision_date, 'SELL_LOCK', 0, 0, 0, 5, '', quantity from outcome where side = 'sell' and lock_status = 'LOCKED'
+union all select portfolio_id, security_id, next_session, 'SELL_LOCK_RELEASE', 0, 0, 0, 3, '|r', -quantity from outcome where side = 'sell' and lock_status = 'LOCKED' and status <> 'FILLED'"""
+CHAIN_STEPS = (
+    *FILL_STEPS,
+    ("trd", CHAIN_TRADES),
+    *_entitle_steps(NET_BASE, "select distinct portfolio_id, security_id from trd"),
+    *FIFO_STEPS[len(ENT_STEPS) :],
+    ("ledger0", LEDGER),
+    ("entries", LOCK_ENTRIES),
+    (
+        "chained",
+        """select *, sum(quantity_delta) over p as position_quantity_after, sum(locked) over p as locked_quantity_after, (2000000 + sum(cash_cents) over w) / 100.0 as cash_after, row_number() over w as event_id
+           from entries window p as (partition by portfolio_id, security_id order by trade_date, phase, sub rows unbounded preceding), w as (partition by portfolio_id order by trade_date, phase, security_id, sub rows unbounded preceding)""",
+    ),
+)
+CHAIN_NAV = NAV_SQL.replace("10000000000", "2000000")
+
+
+@case(
+    "e12_chained_ledger",
+    "portfolio_id:i security_id:s trade_date:d event_type:s quantity_delta:i cash_delta:f2 cost_basis_delta:f2 locked_quantity_delta:i position_quantity_after:i locked_quantity_after:i cash_after:f2 event_id:i",
+    "select portfolio_id, security_id, trade_date, event_type, quantity_delta, cash_cents / 100.0 as cash_delta, cost_cents / 100.0 as cost_basis_delta, locked as locked_quantity_delta, position_quantity_after, locked_quantity_after, cash_after, event_id from chained",
+    BASE,
+    CHAIN_STEPS,
+)
+def _(t):
+    return _chain_entries(t)
+
+
+@case(
+    "e15_ledger_violations",
+    "check:s key:s",
+    """select 'NEGATIVE_CASH' as "check", concat_ws('/', portfolio_id, security_id, trade_date, event_id) as "key" from chained where cash_after < 0
+       union all select 'NEGATIVE_POSITION', concat_ws('/', portfolio_id, security_id, trade_date, event_id) from chained where position_quantity_after < 0
+       union all select 'NEGATIVE_LOCK', concat_ws('/', portfolio_id, security_id, trade_date, event_id) from chained where locked_quantity_after < 0""",
+    BASE,
+    CHAIN_STEPS,
+)
+def _(t):
+    return led.ledger_violations(_chain_entries(t))
+
+
+@case(
+    "e15_broken_identity",
+    "check:s key:s detail:s",
+    """select 'ACCOUNTING_IDENTITY' as "check", concat_ws('/', portfolio_id, trade_date) as "key", '1.00' as detail
+       from (select *, lag(day(trade_date)) over (partition by portfolio_id order by trade_date) as before from navq) where day(trade_date) = 15 or before = 15""",
+    ("bars", *TRADE_VIEWS),
+    (*LEDGER_STEPS, ("navq", NAV_SQL)),
+)
+def _(t):
+    """A NAV that is 1.00 too high on every 15th breaks the identity there and on the next session."""
+    off = F.when(F.dayofmonth("trade_date") == 15, F.lit(1)).otherwise(F.lit(0))
+    nav = _nav(t).withColumn("nav", (F.col("nav") + off).cast("decimal(28,2)"))
+    return led.identity_violations(led.accounting_identity(nav, _opening(t)))
+
+
 @case(
     "e16_run_summary",
-    "portfolio_id:i filled:i rejected:i suspended:i unfilled:i limit_rejected:i cash_insufficient:i capacity_rejected:i no_open_price:i capacity_capped:i lot_adjusted:i total_fees:f2",
-    """select portfolio_id, count(*) filter (status = 'FILLED') as filled, count(*) filter (status = 'REJECTED') as rejected, count(*) filter (status = 'SUSPENDED') as suspended, count(*) filter (status = 'UNFILLED') as unfilled,
+    "portfolio_id:i filled:i rejected:i suspended:i unfilled:i limit_rejected:i cash_insufficient:i capacity_rejected:i no_open_price:i capacity_capped:i lot_adjusted:i total_fees:f2 ca_events:i unprocessed_ca:i sessions:i final_nav:f2",
+    """select * from (select portfolio_id, count(*) filter (status = 'FILLED') as filled, count(*) filter (status = 'REJECTED') as rejected, count(*) filter (status = 'SUSPENDED') as suspended, count(*) filter (status = 'UNFILLED') as unfilled,
        count(*) filter (reason in ('LIMIT_UP_NO_BUY', 'LIMIT_DOWN_NO_SELL')) as limit_rejected, count(*) filter (reason = 'CASH_INSUFFICIENT') as cash_insufficient, count(*) filter (reason in ('CAPACITY_NO_ADV_DATA', 'CAPACITY_REJECTED')) as capacity_rejected,
        count(*) filter (reason = 'NO_OPEN_PRICE') as no_open_price, count(*) filter (lock_status = 'LOCKED' and capped is not null) as capacity_capped, count(*) filter (lock_status = 'LOCKED' and capped is null and quantity <> locked_quantity) as lot_adjusted, sum(fee) as total_fees
-       from outcome group by 1""",
+       from outcome group by 1)
+       full join (select portfolio_id, count(*) filter (event_type like 'CA\\_%' escape '\\' or event_type in ('UNSUPPORTED_CORPORATE_EVENT', 'UNPROCESSED_CA')) as ca_events, count(*) filter (event_type = 'UNPROCESSED_CA') as unprocessed_ca from entries group by 1) using (portfolio_id)
+       full join (select portfolio_id, arg_max(nav, trade_date) as final_nav, count(*) as sessions from navq group by 1) using (portfolio_id)""",
     BASE,
-    FILL_STEPS,
+    (*CHAIN_STEPS, ("navq", CHAIN_NAV)),
 )
 def _(t):
-    return led.run_summary(_fills(t), _entries(t), _nav(t))
+    return led.run_summary(_fills(t), _chain_entries(t), _chain_nav(t))
 
 
 @case(
     "e17_ca_observations",
     "portfolio_id:i event_type:s action_type:s security_id:s trade_date:d prior_position:i share_delta:i receivable_cash_delta:f2 total_cost_basis_before:f2 total_cost_basis_after:f2 sellable_date:d",
+    """with run as (select *, sum(quantity_delta) over p as q, sum(cost_cents) over p as c from entries window p as (partition by portfolio_id, security_id order by trade_date, phase, sub rows unbounded preceding))
+select r.portfolio_id, r.event_type, case event_type when 'CA_DIVIDEND_ACCRUED' then 'CASH_DIVIDEND' when 'CA_DIVIDEND_PAID' then 'CASH_DIVIDEND_PAYMENT' when 'CA_SHARES_ADJUSTED' then 'STOCK_DIVIDEND' when 'UNSUPPORTED_CORPORATE_EVENT' then 'UNSUPPORTED' else 'UNPROCESSED' end as action_type,
+  r.security_id, r.trade_date, r.q - r.quantity_delta as prior_position, r.quantity_delta as share_delta, coalesce(e.accrued, 0) as receivable_cash_delta,
+  (r.c - r.cost_cents) / 100.0 as total_cost_basis_before, r.c / 100.0 as total_cost_basis_after, case when event_type = 'CA_SHARES_ADJUSTED' then r.trade_date end as sellable_date
+from run r left join ent e on event_type = 'CA_DIVIDEND_ACCRUED' and e.portfolio_id = r.portfolio_id and e.security_id = r.security_id and e.ex_date = r.trade_date and concat(e.action_type, '|1') = r.sub and e.accrued > 0
+where event_type not in ('BUY_FILL', 'SELL_FILL')""",
+    TRADE_VIEWS,
+    LEDGER_STEPS,
 )
 def _(t):
     return led.ca_observations(_entries(t))
