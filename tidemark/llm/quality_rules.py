@@ -91,12 +91,13 @@ def _fails(rule: Rule, count: dict[str, Column]) -> Column:
     return failed & (count["n_lines"] >= rule.from_lines) if rule.from_lines else failed
 
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, window: int = WINDOW, carry: list[str] | None = None, only_kept: bool = False) -> DataFrame:
     """Counts and verdict of every row of ``docs`` (doc_id, text), in its order: one projection, no shuffle.
 
     A null text has no words and fails the base rule on length, as do empty and blank texts; texts of any
     length are read whole; repeated rows are judged alike; other columns are not read. ``failed`` names the
-    rules that reject, in table order. ``carry`` names the columns of ``docs`` to hand on instead of doc_id.
+    rules that reject, in table order. ``carry`` names the columns of ``docs`` to hand on instead of doc_id;
+    ``only_kept`` leaves out rejected rows.
     """
     names = ["doc_id"] if carry is None else carry
     held = F.struct(*names).alias("_row")
@@ -118,7 +119,11 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule,
     count = {name: F.col(name) for name in counted.columns} | {"one": F.lit(1).cast("long")}
     base_failed = reduce(lambda a, b: a | b, [_fails(rule, count) for rule in base])
     failed = F.concat_ws(",", *[F.when(_fails(rule, count), rule.name) for rule in (*base, *rules)])
-    return counted.withColumns({"base_failed": base_failed, "failed": failed}).withColumn("kept", F.col("failed") == "").select("_row.*", *COUNTS, "base_failed", "failed", "kept")
+    judged = counted.withColumns({"base_failed": base_failed, "failed": failed}).withColumn("kept", F.col("failed") == "").select("_row.*", *COUNTS, "base_failed", "failed", "kept")
+    if not only_kept:
+        return judged
+    # A plain filter would be pushed below the counts and repeat them for every comparison.
+    return judged.select(F.inline(F.filter(F.array(F.struct(*judged.columns)), lambda r: r["kept"])))
 
 
 def quality_sql(rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, window: int = WINDOW) -> str:
