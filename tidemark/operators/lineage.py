@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.contracts import ContractViolation, enforce, violation
+from tidemark.operators.signals import RANKING_METHOD
 
 
 def join_snapshot_ids(df: DataFrame, by: Sequence[str], column: str = "snapshot_id", out: str = "input_snapshot_id") -> DataFrame:
@@ -26,9 +28,11 @@ def canonical_json(columns: Sequence[str]) -> Column:
     return F.to_json(fields, {"ignoreNullFields": "false"})
 
 
-def fingerprint(df: DataFrame, by: Sequence[str], columns: Sequence[str], out: str = "fingerprint", buckets: int = 256) -> DataFrame:
+def fingerprint(df: DataFrame, by: Sequence[str], columns: Sequence[str], out: str = "fingerprint", buckets: int = 256, header: Mapping[str, object] | None = None) -> DataFrame:
     """SHA-256 per group over its rows, order-independent, without gathering them.
 
+    ``header`` holds parameters that belong to the content, hashed before the rows.
+
     Row digests fall into buckets by their own leading bits; each (group, bucket) adds
     up its digests in four numeric lanes (partial aggregation, exact decimals). The
     final digest covers at most ``buckets`` short lines per group, however hot it is.
@@ -38,7 +42,8 @@ def fingerprint(df: DataFrame, by: Sequence[str], columns: Sequence[str], out: s
     bucket = F.pmod(F.conv(F.substring("_h", 61, 4), 16, 10).cast("bigint"), F.lit(buckets))
     sums = rows.groupBy(*by, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"), *lanes)
     line = F.concat_ws(":", F.col("_b").cast("string"), F.col("_n").cast("string"), "_l0", "_l1", "_l2", "_l3")
-    digest = F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "|"), 256).alias(out)
+    top = json.dumps({k: str(v) for k, v in header.items()}, sort_keys=True, ensure_ascii=False) + "|" if header else ""
+    digest = F.sha2(F.concat(F.lit(top), F.array_join(F.sort_array(F.collect_list(line)), "|")), 256).alias(out)
     return sums.groupBy(*by).agg(digest, F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
 
 
@@ -47,10 +52,15 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return fingerprint(df, [], list(columns) if columns is not None else list(df.columns), buckets=4096)
 
 
-def signal_fingerprint(points: DataFrame) -> DataFrame:
-    """One manifest hash per signal date over its points and exclusions."""
+def signal_fingerprint(points: DataFrame, header: Mapping[str, object] | None = None) -> DataFrame:
+    """One manifest hash per signal date over its points, exclusions and ``header``.
+
+    The header names what the points were made with: lookback, skip, ranking method, input snapshot.
+    Two signals that differ in any of them have different hashes. As-of stamps, universe size and
+    exclusions are part of the rows.
+    """
     rounded = points.withColumn("momentum_score", F.round("momentum_score", 12))
-    return fingerprint(rounded, ["signal_date"], ["security_id", "momentum_score", "cross_sectional_rank", "status", "reason", "score_date"], "signal_manifest_hash")
+    return fingerprint(rounded, ["signal_date"], ["security_id", "momentum_score", "cross_sectional_rank", "status", "reason", "score_date", "universe_size"], "signal_manifest_hash", header={"ranking_method": RANKING_METHOD, **(header or {})})
 
 
 def frozen_violations(current: DataFrame, recorded_hash: str | None) -> DataFrame:

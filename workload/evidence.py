@@ -256,6 +256,29 @@ def _(t):
     return announcement_violations(read_announcements(t.spark, _landed_json(t), multi_line=False))
 
 
+@case(
+    "s4_broken_announcements",
+    "check:s key:s detail:s",
+    """with r as (select security_id, channel, event_id, trim(title) as title from anns),
+n as (select security_id, channel, count(*) as n from r group by 1, 2)
+select 'TOTAL_MISMATCH' as "check", concat(security_id, '/', channel) as "key", concat(n + 1, ' vs ', n) as detail from n
+union all select 'MISSING_URL', concat(security_id, '/', channel), title from r where event_id % 7 = 0
+union all select 'MISSING_TIME', concat(security_id, '/', channel), title from r where event_id % 11 = 0""",
+    ("announcements_src",),
+    STEP,
+)
+def _(t):
+    """Every channel announces one record too many, and some records lack their url or their time."""
+    rows = _rows(t)
+    totals = rows.groupBy("security_id", "channel").agg((F.count(F.lit(1)) + 1).alias("page_total"))
+    broken = rows.select(
+        "security_id", "channel", F.lit(0).alias("page"), F.trim("title").alias("title"), F.lit(True).alias("has_record"),
+        F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("adjunct_url")).alias("adjunct_url"),
+        F.when(F.col("event_id") % 11 != 0, F.col("epoch_ms")).alias("epoch_ms"),
+    )
+    return announcement_violations(broken.join(totals, ["security_id", "channel"]))
+
+
 # -- notices --------------------------------------------------------------------------------
 
 NOTICE = """

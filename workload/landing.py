@@ -398,11 +398,18 @@ def _(t):
     return t.spark.read.csv(_nav_file(t), header=True)
 
 
-@case("s6_fingerprint_files", "sha256:s bytes:i too_small:b")
+@case(
+    "s6_fingerprint_files",
+    "sha256:s bytes:i too_small:b",
+    """select sha256(body) as sha256, strlen(body) as bytes, strlen(body) < 65536 as too_small
+       from (select string_agg(concat(html, chr(10)), '' order by page_id) as body from (select page_id, html, page_id // 64 as g from pages) group by g)""",
+)
 def _(t):
+    """One text file per 64 pages, lines in page order, read back as files."""
     path = _scratch(t, "s6")
-    t.base("pages").select("html").repartition(8, "html").write.text(path)
-    return readers.fingerprint_files(t.spark, f"{path}/*.txt", 10 * 1024)
+    grouped = t.base("pages").select("page_id", "html", F.floor(F.col("page_id") / 64).alias("g"))
+    grouped.repartition("g").sortWithinPartitions("g", "page_id").select("html", "g").write.partitionBy("g").text(path)
+    return readers.fingerprint_files(t.spark, f"{path}/g=*/*.txt", 64 * 1024)
 
 
 @case("s7_write_actions", "security_id:s ex_date:d action_type:s revision_id:s", "select security_id, ex_date, action_type, revision_id from actions", ("actions",))
@@ -605,6 +612,19 @@ def _(t):
     return q.availability_check(t.actions, t.cal)
 
 
+@case(
+    "q21_unresolved_disclosure",
+    "check:s key:s",
+    """select 'NOT_RESOLVED' as "check", concat_ws('/', security_id, ex_date, action_type, revision_id) as "key" from actions""",
+    ("actions", "cal"),
+)
+def _(t):
+    """Every disclosure put after the calendar's end, known by date only: none can resolve."""
+    last = F.date_add(F.lit(t.cal.dates[-1]), 1)
+    moved = t.actions.withColumns({"disclosure_time_known": F.lit(False), "disclosure_date": last})
+    return q.availability_check(moved, t.cal).where("check = 'NOT_RESOLVED'")
+
+
 @case(
     "q22_combined_event_check",
     "security_id:s ex_date:d hand_price:f8 reference_price:f8 uses_both_legs:b",

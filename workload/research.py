@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.contracts import union_all
 from tidemark.functions.scalars import market_close_ts
 from tidemark.operators import evaluation as ev
 from tidemark.operators import labels as lab
@@ -232,12 +233,29 @@ def _(t):
 
 @case("a13_signal_fingerprint", "signal_date:d signal_manifest_hash:s rows:i")
 def _(t):
-    return lineage.signal_fingerprint(_signal(t))
+    return lineage.signal_fingerprint(_signal(t), {"lookback": LOOKBACK, "skip": SKIP, "input_snapshot_id": "derived"})
 
 
-@case("a13_table_fingerprint", "fingerprint:s rows:i")
+def _fingerprint_sql(table: str, by: str, columns: tuple[str, ...], buckets: int) -> str:
+    row = ", ".join(f"'{c}': cast({c} as varchar)" for c in sorted(columns))
+    lanes = [f"cast(sum(cast(cast(concat('0x', substr(h, {1 + 15 * k}, 15)) as bigint) as hugeint)) as varchar)" for k in range(4)]
+    group = f"{by}, " if by else ""
+    return f"""select {group}sha256(string_agg(line, '|' order by line)) as fingerprint, cast(sum(n) as bigint) as rows from (
+      select {group}count(*) as n, concat_ws(':', cast(b as varchar), cast(count(*) as varchar), {', '.join(lanes)}) as line
+      from (select {group}h, cast(concat('0x', substr(h, 61, 4)) as bigint) % {buckets} as b from (select {group}sha256(to_json({{{row}}})) as h from {table})) group by {group}b) {f'group by {by}' if by else ''}"""
+
+
+PRINTED = ("security_id", "trade_date", "open", "high", "low", "close", "volume", "trade_status", "available_at")
+
+
+@case("a13_table_fingerprint", "fingerprint:s rows:i", _fingerprint_sql("bars", "", PRINTED, 4096), ("bars",))
 def _(t):
-    return lineage.table_fingerprint(t.bars)
+    return lineage.table_fingerprint(t.bars, PRINTED)
+
+
+@case("a13_group_fingerprint", "security_id:s fingerprint:s rows:i", _fingerprint_sql("bars", "security_id", PRINTED, 256), ("bars",))
+def _(t):
+    return lineage.fingerprint(t.bars, ["security_id"], PRINTED)
 
 
 LABEL_COLUMNS = "signal_date:d security_id:s entry_ts:t exit_ts:t status:s reason:s future_return:f7 label_observed_at:t"
@@ -349,7 +367,24 @@ def _(t):
     return ev.monotonicity(ev.quantile_returns(ev.usable_pairs(_signal(t), _labels(t), EVALUATION)))
 
 
-@case("a21_block_bootstrap_ci", "ci_low:f8 ci_high:f8 ci_method:s")
+#: Dates with an IC at the scale the oracles run at; the block starts follow from their number.
+IC_DATES = 277
+
+
+def _bootstrap_sql() -> str:
+    """The seeded starts as values: start of each block, by iteration and place."""
+    generator = random.Random(0)
+    per, choices = math.ceil(IC_DATES / ev.BLOCK_LENGTH), range(IC_DATES - ev.BLOCK_LENGTH + 1)
+    drawn = ", ".join(f"({i},{k},{generator.choice(choices)})" for i in range(ev.ITERATIONS) for k in range(per))
+    low, high = (25 * (ev.ITERATIONS - 1)) // 1000, (975 * (ev.ITERATIONS - 1)) // 1000
+    return f"""with series as (select rank_ic, row_number() over (order by signal_date) - 1 as i, count(*) over () as n from ic where rank_ic is not null),
+starts(iteration, slot, start) as (values {drawn}),
+means as (select iteration, avg(rank_ic) as m from starts, range({ev.BLOCK_LENGTH}) r(k) join series on i = start + k where slot * {ev.BLOCK_LENGTH} + k < {IC_DATES} and n = {IC_DATES} group by 1)
+select max(m) filter (pos = {low}) as ci_low, max(m) filter (pos = {high}) as ci_high, 'moving_block_bootstrap_non_iid(block_length={ev.BLOCK_LENGTH},iterations={ev.ITERATIONS})' as ci_method
+from (select m, row_number() over (order by m) - 1 as pos from means)"""
+
+
+@case("a21_block_bootstrap_ci", "ci_low:f8 ci_high:f8 ci_method:s", _bootstrap_sql(), BASE, FULL_STEPS)
 def _(t):
     return ev.block_bootstrap_ci(_ic(t))
 
@@ -482,9 +517,25 @@ def _(t):
     ("bars",),
 )
 def _(t):
-    """The many-as-of plan and a single-as-of plan agree on that as-of's scores."""
-    day = t.cal.dates[200]
-    many = _signal(t).where(F.col("signal_date") == F.lit(day)).select("security_id", "signal_date", "status", F.round("momentum_score", 10).alias("score"))
-    one = returns.cumulative_return(t.bars, t.actions, t.cal, f"{day} 15:00:00", LOOKBACK).where(F.col("trade_date") == F.lit(t.cal.dates[200 - SKIP]))
-    single = one.select("security_id", F.lit(day).alias("signal_date"), "status", F.round("cumulative_return", 10).alias("score"))
-    return lineage.first_difference(many, single, ["security_id", "signal_date"])
+    """The many-as-of plan and single-as-of plans agree on the scores of dates over the whole calendar."""
+    places = range(FIRST + 10, len(t.cal.dates), 60)
+    days = [t.cal.dates[i] for i in places]
+    many = _signal(t).where(F.col("signal_date").isin(days)).select("security_id", "signal_date", "status", F.round("momentum_score", 10).alias("score"))
+    singles = []
+    for i, day in zip(places, days, strict=True):
+        one = returns.cumulative_return(t.bars, t.actions, t.cal, f"{day} 15:00:00", LOOKBACK).where(F.col("trade_date") == F.lit(t.cal.dates[i - SKIP]))
+        singles.append(one.select("security_id", F.lit(day).alias("signal_date"), "status", F.round("cumulative_return", 10).alias("score")))
+    return lineage.first_difference(many, union_all(singles), ["security_id", "signal_date"])
+
+
+@case(
+    "q20_first_difference",
+    "security_id:s trade_date:d close:f6 only_in:s",
+    """select security_id, trade_date, close, 'a' as only_in from bars where close is not null and trade_date >= date '2020-01-01' order by security_id, trade_date limit 1""",
+    ("bars",),
+)
+def _(t):
+    """Two tables that differ from a date on: the first differing row by key, as the first table has it."""
+    changed = F.when(F.col("trade_date") >= F.lit("2020-01-01").cast("date"), F.col("close") + 1).otherwise(F.col("close")).cast("decimal(18,6)")
+    columns = ["security_id", "trade_date", "close"]
+    return lineage.first_difference(t.bars.select(*columns), t.bars.withColumn("close", changed).select(*columns), ["security_id", "trade_date"])
