@@ -332,8 +332,9 @@ def notice_candidates(pages: DataFrame) -> DataFrame:
     """Every candidate value of every field with page and quote, exact repeats removed."""
     # Every field scans the same normalised pages, so they are written once.
     clean = stage(pages.select("doc_id", "page_no", normalize_page_text("text").alias("text")).repartition("doc_id", "page_no"), "notice-text")
-    following = Window.partitionBy("doc_id").orderBy("page_no")
-    edges = clean.withColumn("_next", F.lead("text").over(following)).where(F.col("_next").isNotNull())
+    # Page n meets page n + 1 by an equality join, so a long document is not one task's window.
+    after = clean.select("doc_id", (F.col("page_no") - 1).alias("page_no"), F.col("text").alias("_next"))
+    edges = clean.join(after, ["doc_id", "page_no"])
     tail = F.expr(f"substring(text, greatest(1, length(text) - {BOUNDARY - 1}), {BOUNDARY})")
     head = F.substring(F.regexp_replace("_next", r"^\d{1,3}\s+", ""), 1, BOUNDARY)
     borders = edges.select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.concat(tail, F.lit(" "), head).alias("text"))
@@ -370,7 +371,7 @@ def extract_notice_fields(pages: DataFrame, titles: DataFrame | None = None) ->
     first = F.min_by("pick", F.col("ord"))
     best_cash = F.min_by("pick", F.struct((-actual).alias("a"), (-implementing).alias("i"), F.col("page_no"), F.col("ord")))
     last_page = F.min_by("pick", F.struct((-F.col("page_no")).alias("p"), F.col("ord")))
-    per_field = keyed.groupBy("doc_id", "field").agg(first.alias("first"), best_cash.alias("best"), last_page.alias("last"), F.min("identity").alias("lo"), F.max("identity").alias("hi"))
+    per_field = keyed.groupBy("doc_id", "field").agg(first.alias("first"), best_cash.alias("best"), last_page.alias("last"), F.min("identity").alias("lo"), F.max("identity").alias("hi"), F.collect_set(F.when(F.col("field") == "cash", F.col("value"))).alias("values"))
 
     def of(field: str, value: Column) -> Column:
         return F.max(F.when(F.col("field") == field, value))
@@ -379,6 +380,7 @@ def extract_notice_fields(pages: DataFrame, titles: DataFrame | None = None) ->
     wide = per_field.groupBy("doc_id").agg(
         of("cash", F.col("best")).alias("cash"),
         of("cash", varied).alias("cash_varied"),
+        of("cash", F.array_join(F.sort_array("values"), "|")).alias("cash_values"),
         of("record_date", F.when(~varied, F.col("first"))).alias("record"),
         of("record_date", varied).alias("record_varied"),
         of("ex_date", F.when(~varied, F.col("first"))).alias("ex"),
@@ -399,10 +401,12 @@ def extract_notice_fields(pages: DataFrame, titles: DataFrame | None = None) ->
     incomplete = F.col("cash").isNull() | F.col("record").isNull() | F.col("ex").isNull() | F.col("announced").isNull() | F.col("share").isNull()
     missing_record = F.when(F.coalesce("record_varied", F.lit(False)), F.lit("股权登记日存在多个不同日期候选")).when(F.col("record").isNull(), F.lit("未找到明确股权登记日原句"))
     missing_ex = F.when(F.coalesce("ex_varied", F.lit(False)), F.lit("除权除息日存在多个不同日期候选")).when(F.col("ex").isNull(), F.lit("未找到明确除权除息日原句"))
+    pages_of = {"announcement_date": "announced", "cash": "cash", "ex_date": "ex", "record_date": "record", "share_ratio": "share"}
+    located = F.concat_ws(",", *[F.when(F.col(source).isNotNull(), F.concat(F.lit(f"{name}=p"), F.col(f"{source}.page_no").cast("string"))) for name, source in pages_of.items()])
     notes = F.concat_ws(
         "; ",
         F.when(F.col("cash").isNull(), F.lit("未找到明确带含税标识的每股或每10股现金分红原句")),
-        F.when(F.col("cash_varied"), F.lit("PDF含多个税前现金金额候选")),
+        F.when(F.col("cash_varied"), F.concat(F.lit("PDF含多个税前现金金额候选:"), F.col("cash_values"), F.lit(",已按原文中的实际/本次实施表述优先提取"))),
         F.when(F.contains(F.col("cash.quote"), F.lit("扣税后")), F.lit("现金分红原句同时列示扣税后金额,本列仅摘录含税值")),
         missing_record,
         missing_ex,
@@ -415,6 +419,7 @@ def extract_notice_fields(pages: DataFrame, titles: DataFrame | None = None) ->
         F.when(F.contains(title, F.lit("更正公告")), F.lit("更正公告仅提取其自身明确列示字段,未从被更正公告补全")),
         F.when(F.col("nonzero").isNotNull(), F.lit("NONZERO_SHARE_TRANSFER_REVIEW_REQUIRED")),
         F.when(incomplete, F.lit("至少一个必核字段未从本PDF唯一提取")),
+        F.when(located != "", F.concat(F.lit("PDF页码:"), located)),
     )
     picked = {"cash_dividend_raw": "cash", "record_date": "record", "ex_date": "ex", "announcement_date": "announced", "share_ratio": "share"}
     columns = []

@@ -281,26 +281,28 @@ def _(t):
 
 # -- notices --------------------------------------------------------------------------------
 
-NOTICE = """
-select row_number() over (order by security_id, ex_date, action_type, available_at) as doc_id, security_id, ex_date, record_date, coalesce(announcement_date, ex_date) as ann, cash_dividend_per_share as cash, share_ratio as ratio, action_type
+NOTICE_KEY = "concat_ws('|', security_id, cast(ex_date as varchar), action_type, cast(available_at as varchar))"
+NOTICE = f"""
+select cast(concat('0x', substr(md5({NOTICE_KEY}), 1, 12)) as bigint) as doc_id, security_id, ex_date, record_date, coalesce(announcement_date, ex_date) as ann, cash_dividend_per_share as cash, share_ratio as ratio, action_type
 from actions where action_type in ('CASH_DIVIDEND', 'STOCK_DIVIDEND')"""
 CASH_TEXT = "concat('每股派发现金红利', cast(cast(cash as decimal(18,2)) as varchar), '元')"
 SHARE_TEXT = "case when action_type = 'STOCK_DIVIDEND' then concat('每10股转增', cast(cast(ratio * 10 as decimal(18,1)) as varchar), '股') when doc_id % 4 = 0 then '不以资本公积金转增股本' else '不送红股,不以公积金转增股本' end"
 
 
 def _notices(t):
-    from pyspark.sql import Window
-
+    """Notices numbered by a hash of their action."""
     rows = t.actions.where("action_type in ('CASH_DIVIDEND', 'STOCK_DIVIDEND')")
-    # Numbering for the oracle's sake: ids follow a global order of the few actions.
-    number = F.row_number().over(Window.orderBy("security_id", "ex_date", "action_type", "available_at"))
+    key = F.concat_ws("|", "security_id", F.col("ex_date").cast("string"), "action_type", F.col("available_at").cast("string"))
+    number = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("bigint")
     return rows.select(number.alias("doc_id"), "security_id", "ex_date", "record_date", F.coalesce("announcement_date", "ex_date").alias("ann"), F.col("cash_dividend_per_share").alias("cash"), F.col("share_ratio").alias("ratio"), "action_type")
 
 
 def _pages(t):
+    """Each notice begins with the text of a document; every document is a notice without any field too."""
     def build():
-        texts = t.base("documents").select("doc_id", "text")
-        notices = _notices(t).join(texts, "doc_id", "left")
+        texts = t.base("documents").select("doc_id", "text", "source")
+        count = texts.count()
+        notices = _notices(t).withColumn("_doc", F.col("doc_id") % count).join(texts.select(F.col("doc_id").alias("_doc"), "text"), "_doc", "left").drop("_doc")
         day = lambda c: F.concat_ws("", F.year(c).cast("string"), F.lit("年"), F.month(c).cast("string"), F.lit("月"), F.dayofmonth(c).cast("string"), F.lit("日"))
         amount = F.concat(F.lit("每股派发现金红利"), F.col("cash").cast("decimal(18,2)").cast("string"), F.lit("元"))
         share = F.when(F.col("action_type") == "STOCK_DIVIDEND", F.concat(F.lit("每10股转增"), (F.col("ratio") * 10).cast("decimal(18,1)").cast("string"), F.lit("股"))).when(F.col("doc_id") % 4 == 0, "不以资本公积金转增股本").otherwise("不送红股,不以公积金转增股本")
@@ -309,7 +311,8 @@ def _pages(t):
         last_page = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("2 ")).otherwise(F.lit("特此公告。某某股份有限公司董事会 ")), day("ann"))
         page = F.posexplode(F.array(first_page, last_page))
         pages = notices.select("doc_id", "security_id", page.alias("p", "text"))
-        return pages.select("doc_id", "security_id", (F.col("p") + 1).alias("page_no"), "text").repartition("doc_id")
+        free = texts.select((-1 - F.col("doc_id")).alias("doc_id"), F.col("source").alias("security_id"), F.lit(1).alias("page_no"), "text")
+        return pages.select("doc_id", "security_id", (F.col("p") + 1).alias("page_no"), "text").unionByName(free).repartition("doc_id")
 
     return t.landed("notice_pages", build)
 
@@ -320,7 +323,32 @@ select doc_id, {CASH_TEXT} as cash_dividend_raw, case when doc_id % 5 = 0 then '
   {SHARE_TEXT} as share_ratio, case when doc_id % 5 = 0 or action_type = 'STOCK_DIVIDEND' or doc_id % 4 = 0 then 'low' else 'high' end as extraction_confidence from notices"""
 
 
-@case("q16_extract_notice_fields", "doc_id:i cash_dividend_raw:s record_date:s ex_date:s announcement_date:s share_ratio:s extraction_confidence:s", FIELDS_SQL, ("actions",), (("notices", NOTICE),))
+FREE_NOTES = "; ".join(
+    (
+        "未找到明确带含税标识的每股或每10股现金分红原句",
+        "未找到明确股权登记日原句",
+        "未找到明确除权除息日原句",
+        "未找到董事会/监事会落款发布日期原句",
+        "未找到明确不送不转或非零送转比例原句",
+        "至少一个必核字段未从本PDF唯一提取",
+    )
+)
+NOTES_SQL = f"""
+select doc_id, concat_ws('; ', case when doc_id % 5 = 0 then '股权登记日存在多个不同日期候选' end, case when stock then '发现明确非零送转候选' end,
+  case when not stock and doc_id % 4 = 0 then '原文仅明确不转增,未明确写出不送股' end, case when stock then 'NONZERO_SHARE_TRANSFER_REVIEW_REQUIRED' end,
+  case when doc_id % 5 = 0 then '至少一个必核字段未从本PDF唯一提取' end,
+  concat('PDF页码:announcement_date=p2,cash=p1,ex_date=p1', case when doc_id % 5 = 0 then '' else ',record_date=p1' end, ',share_ratio=p1')) as notes
+from (select doc_id, action_type = 'STOCK_DIVIDEND' as stock from notices)"""
+
+
+@case(
+    "q16_extract_notice_fields",
+    "doc_id:i cash_dividend_raw:s record_date:s ex_date:s announcement_date:s share_ratio:s cash_dividend_page:i announcement_date_page:i extraction_confidence:s notes:s",
+    f"""select f.*, 1 as cash_dividend_page, 2 as announcement_date_page, n.notes from ({FIELDS_SQL}) f join ({NOTES_SQL}) n using (doc_id)
+       union all select -1 - doc_id, '', '', '', '', '', 'low', null, null, '{FREE_NOTES}' from documents""",
+    ("actions",),
+    (("notices", NOTICE),),
+)
 def _(t):
     return _fields(t)
 
@@ -333,7 +361,8 @@ def _fields(t):
     "q17_extraction_summary",
     "security_id:s documents:i high:i low:i nonzero_share:i incomplete:i",
     f"""select security_id, count(*) as documents, count(*) filter (extraction_confidence = 'high') as high, count(*) filter (extraction_confidence = 'low') as low, count(*) filter (action_type = 'STOCK_DIVIDEND') as nonzero_share, count(*) filter (record_date = '') as incomplete
-       from ({FIELDS_SQL}) f join (select doc_id, security_id, action_type from notices) n using (doc_id) group by 1""",
+       from ({FIELDS_SQL}) f join (select doc_id, security_id, action_type from notices) n using (doc_id) group by 1
+       union all select source, count(*), 0, count(*), 0, count(*) from documents group by 1""",
     ("actions",),
     (("notices", NOTICE),),
 )
