@@ -1,7 +1,7 @@
 """Vendor frames to contract tables.
 
-"Keep the last row" needs an order: frames carry ``ingest_seq`` (``with_ingest_seq``
-adds one from file order). Keep-last is an aggregate with partial combine, so a vendor
+"Keep the last row" needs an order: frames must carry ``ingest_seq``,
+the order of arrival. Keep-last is an aggregate with partial combine, so a vendor
 resending one key a million times costs one row per task.
 """
 
@@ -35,7 +35,8 @@ NUMBER = "decimal(24,6)"
 
 
 def with_ingest_seq(df: DataFrame) -> DataFrame:
-    return df if "ingest_seq" in df.columns else df.withColumn("ingest_seq", F.monotonically_increasing_id())
+    """Rows with their order of arrival, which only the caller knows: Spark packs file splits by size."""
+    return require_columns(df, ["ingest_seq"], "rows of which the last is kept")
 
 
 def keep_last(df: DataFrame, key: Sequence[str], order: str = "ingest_seq") -> DataFrame:

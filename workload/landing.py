@@ -13,11 +13,12 @@ from tidemark.operators import evaluation as ev
 from tidemark.operators import quality as q
 from tidemark.operators import returns
 from tidemark.operators.actions import visible_inputs
+from tidemark.plans.build import build_bars
 from tidemark.sources import builders as bld
 from tidemark.sources import readers, vendor, writers
 from tidemark.staging import checkpoint_root
 from workload import research, trading
-from workload.cases import case
+from workload.cases import CASES, case
 from workload.market import END, asof_steps
 
 SNAPSHOT = "20230630_landed"
@@ -152,13 +153,12 @@ def _(t):
 @case(
     "p9_pick_provider",
     "security_id:s ex_date:d action_type:s revision_id:s source_id:s",
-    """select security_id, ex_date, action_type, revision_id, source_id from actions a where ex_date between date '2018-01-01' and date '2018-12-31' and source_id = (
-         select case when bool_or(source_id = 'cninfo') then 'cninfo' else 'em' end from actions b where b.security_id = a.security_id and b.ex_date between date '2018-01-01' and date '2018-12-31')""",
+    """select security_id, ex_date, action_type, revision_id, source_id from actions a where source_id = (
+         select case when bool_or(source_id = 'cninfo') then 'cninfo' else 'em' end from actions b where b.security_id = a.security_id)""",
     ("actions",),
 )
 def _(t):
-    ranged = t.actions.where("ex_date between date '2018-01-01' and date '2018-12-31'")
-    return vendor.pick_provider(ranged, ["cninfo", "em"])
+    return vendor.pick_provider(t.actions, ["cninfo", "em"])
 
 
 @case(
@@ -168,7 +168,8 @@ def _(t):
     ("actions",),
 )
 def _(t):
-    slim = t.actions.select("security_id", "ex_date", "action_type", "cash_dividend_per_share", "share_ratio", "source_id")
+    arrived = F.unix_seconds(F.col("available_at").cast("timestamp")).alias("ingest_seq")
+    slim = t.actions.select("security_id", "ex_date", "action_type", "cash_dividend_per_share", "share_ratio", "source_id", arrived)
     return vendor.combine_actions(slim, slim.where("action_type = 'RIGHTS_ISSUE'"))
 
 
@@ -531,6 +532,14 @@ def _(t):
     return q.bar_build_stats(t.bars)
 
 
+@case("s9_build_manifest", "stat:s item:s value:i", CASES["q6_bar_build_stats"].sql, ("bars",))
+def _(t):
+    """The bar build writes its manifest beside the table; it is read back here."""
+    path = _scratch(t, "s9b")
+    build_bars(t.bars_src.drop("k"), t.cal, path, "landed.daily", "r1", "snap_base")
+    return t.spark.read.json(f"{path}_manifest")
+
+
 @case(
     "q6_master_build_stats",
     "stat:s item:s value:i",
