@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.contracts import ContractViolation, enforce, violation
 from tidemark.operators.signals import RANKING_METHOD
 
+HASH_DIGITS = 10
+
 
 def join_snapshot_ids(df: DataFrame, by: Sequence[str], column: str = "snapshot_id", out: str = "input_snapshot_id") -> DataFrame:
     """Sorted distinct ids per group, ``;``-joined; inputs may be joined lists themselves.
@@ -59,7 +61,8 @@ def signal_fingerprint(points: DataFrame, header: Mapping[str, object] | None =
     Two signals that differ in any of them have different hashes. As-of stamps, universe size and
     exclusions are part of the rows.
     """
-    rounded = points.withColumn("momentum_score", F.round("momentum_score", 12))
+    # As decimals of HASH_DIGITS places: the text of a double differs between runs in its last bits.
+    rounded = points.withColumn("momentum_score", F.round("momentum_score", HASH_DIGITS).cast(f"decimal(28,{HASH_DIGITS})"))
     return fingerprint(rounded, ["signal_date"], ["security_id", "momentum_score", "cross_sectional_rank", "status", "reason", "score_date", "universe_size"], "signal_manifest_hash", header={"ranking_method": RANKING_METHOD, **(header or {})})
 
 

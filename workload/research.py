@@ -231,20 +231,27 @@ def _(t):
     return lineage.join_snapshot_ids(t.bars_src.withColumn("snapshot_id", listed), ["trade_date"])
 
 
-@case("a13_signal_fingerprint", "signal_date:d signal_manifest_hash:s rows:i")
-def _(t):
-    return lineage.signal_fingerprint(_signal(t), {"lookback": LOOKBACK, "skip": SKIP, "input_snapshot_id": "derived"})
-
-
-def _fingerprint_sql(table: str, by: str, columns: tuple[str, ...], buckets: int) -> str:
+def _fingerprint_sql(table: str, by: str, columns: tuple[str, ...], buckets: int, head: str = "") -> str:
     row = ", ".join(f"'{c}': cast({c} as varchar)" for c in sorted(columns))
     lanes = [f"cast(sum(cast(cast(concat('0x', substr(h, {1 + 15 * k}, 15)) as bigint) as hugeint)) as varchar)" for k in range(4)]
     group = f"{by}, " if by else ""
-    return f"""select {group}sha256(string_agg(line, '|' order by line)) as fingerprint, cast(sum(n) as bigint) as rows from (
+    return f"""select {group}sha256(concat('{head}', string_agg(line, '|' order by line))) as fingerprint, cast(sum(n) as bigint) as rows from (
       select {group}count(*) as n, concat_ws(':', cast(b as varchar), cast(count(*) as varchar), {', '.join(lanes)}) as line
       from (select {group}h, cast(concat('0x', substr(h, 61, 4)) as bigint) % {buckets} as b from (select {group}sha256(to_json({{{row}}})) as h from {table})) group by {group}b) {f'group by {by}' if by else ''}"""
 
 
+def _signal_hash_sql() -> str:
+    points = "(select signal_date, security_id, cast(round(momentum_score, 10) as decimal(28,10)) as momentum_score, cast(cross_sectional_rank as bigint) as cross_sectional_rank, status, reason, score_date, universe_size from points)"
+    columns = ("security_id", "momentum_score", "cross_sectional_rank", "status", "reason", "score_date", "universe_size")
+    head = '{"input_snapshot_id": "derived", "lookback": "%d", "ranking_method": "ordinal_descending_rank", "skip": "%d"}|' % (LOOKBACK, SKIP)
+    return _fingerprint_sql(points, "signal_date", columns, 256, head).replace("as fingerprint", "as signal_manifest_hash")
+
+
+@case("a13_signal_fingerprint", "signal_date:d signal_manifest_hash:s rows:i", _signal_hash_sql(), BASE, SIGNAL_STEPS)
+def _(t):
+    return lineage.signal_fingerprint(_signal(t), {"lookback": LOOKBACK, "skip": SKIP, "input_snapshot_id": "derived"})
+
+
 PRINTED = ("security_id", "trade_date", "open", "high", "low", "close", "volume", "trade_status", "available_at")
 
 
