@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.contracts import BLOCKED, EVIDENCE_TAINTED, NO_DATA, OK, ContractViolation, enforce
 from tidemark.functions.scalars import market_close_ts
 from tidemark.operators.calendar import SessionCalendar
-from tidemark.operators.returns import NO_BARS, Timeline, lookback_windows, prepare_timeline
+from tidemark.operators.returns import NO_BARS, Timeline, asof_timeline, lookback_windows, prepare_timeline
+from tidemark.staging import stage
 
 LOOKBACK = 231
 SKIP_RECENT = 21
@@ -74,13 +75,21 @@ def momentum_signal(
     skip: int = SKIP_RECENT,
     score_basis: str = "bars",
     line: Timeline | None = None,
+    derivation_asof: object | None = None,
 ) -> DataFrame:
     """Signal points ``(signal_date, security_id)`` with status, score, rank and reason.
 
     The as-of of a signal date is its 15:00 close, for prices and corporate actions
     alike. The bulk reads precomputed windows; pairs touched by an action that landed
-    after its ex-date are replayed with the version known at their as-of.
+    after its ex-date are replayed with the version known at their as-of. With
+    ``derivation_asof`` all returns are derived as known at that one stamp instead, while
+    score dates still follow each signal date.
     """
+    if derivation_asof is not None:
+        if line is not None:
+            raise ValueError("a prepared timeline already has its derivation")
+        universe = bars.join(ids.select("security_id").distinct(), "security_id", "left_semi")
+        line = Timeline(stage(asof_timeline(universe, actions, cal, derivation_asof), "timeline"), None)
     if line is None:
         line = prepare_timeline(bars, actions, cal, ids)
     windows = lookback_windows(line.rows, lookback)

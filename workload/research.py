@@ -100,9 +100,9 @@ def _replay_steps(bars: str, prefix: str, windows: str) -> tuple[tuple[str, str]
     )
 
 
-def _signal_steps(bars: str = "bars") -> tuple[tuple[str, str], ...]:
+def _signal_steps(bars: str = "bars", cutoff: str = "T + interval 15 hours") -> tuple[tuple[str, str], ...]:
     windows = f"""
-select security_id, T as wid, T + interval 15 hours as cutoff, min(trade_date) as lo, max(trade_date) as hi from (
+select security_id, T as wid, {cutoff} as cutoff, min(trade_date) as lo, max(trade_date) as hi from (
   select b.security_id, s.signal_date as T, b.trade_date, row_number() over (partition by b.security_id, s.signal_date order by b.trade_date desc) as back
   from scores s join {bars} b on b.trade_date <= s.score_date) where back <= {LOOKBACK} group by 1, 2"""
     score = f"""
@@ -208,6 +208,15 @@ def _(t):
     return signals.momentum_signal(t.sparse, t.actions, t.cal, t.ids, _signal_dates(t), LOOKBACK, SKIP)
 
 
+DERIVATION = "2030-01-01 15:00:00"
+
+
+@case("a10_derivation_asof", SIGNAL_COLUMNS, "select * from points", BASE, _signal_steps("bars", f"timestamp '{DERIVATION}'"))
+def _(t):
+    """Every signal date with returns as known at one later stamp."""
+    return signals.momentum_signal(t.bars, t.actions, t.cal, t.ids, _signal_dates(t), LOOKBACK, SKIP, derivation_asof=DERIVATION)
+
+
 @case(
     "a11_exclusion_counts",
     "signal_date:d status:s excluded:i",
