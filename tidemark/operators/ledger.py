@@ -296,24 +296,21 @@ def position_violations(view: DataFrame) -> DataFrame:
 def mark_to_last_close(positions: DataFrame, bars: DataFrame, cal: SessionCalendar, day: str = "trade_date") -> DataFrame:
     """Latest non-null close at or before each position's date, with its age in sessions.
 
-    ``positions`` holds ``security_id`` and a date; marks are built once per (security,
-    wanted session), then joined. A held id without any close fails.
+    ``positions`` holds ``security_id`` and a date; marks are built once per security and
+    session from the bars, then joined on both. A held id without any close fails.
     """
     located = cal.positions(positions, day, "_at").drop("_member")
-    marks = _marks(bars, located.select("security_id", "_at").distinct(), cal)
-    joined = located.join(marks, ["security_id", "_at"], "left")
+    joined = located.join(_marks(bars, cal), ["security_id", "_at"], "left")
     mark = F.when(F.col("_close").isNull(), F.raise_error(F.concat(F.lit("no visible close for held security "), F.col("security_id")))).otherwise(money("_close"))
     return joined.withColumns({"mark": mark, "stale_sessions": F.col("_at") - F.col("_from")}).drop("_at", "_close", "_from")
 
 
-def _marks(bars: DataFrame, wanted: DataFrame, cal: SessionCalendar) -> DataFrame:
-    closes = with_session_idx(bars.where(F.col("close").isNotNull()).select("security_id", "trade_date", "close"), cal, "trade_date", "_at")
-    rows = closes.select("security_id", "_at", F.struct(F.col("_at").alias("i"), "close").alias("c"), F.lit(0).alias("side")).unionByName(
-        wanted.select("security_id", "_at", F.lit(None).cast(f"struct<i:int,close:{bars.schema['close'].dataType.simpleString()}>").alias("c"), F.lit(1).alias("side"))
-    )
-    order = Window.partitionBy("security_id").orderBy("_at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("_c", F.last("c", ignorenulls=True).over(order)).where("side = 1")
-    return seen.select("security_id", "_at", F.col("_c.close").alias("_close"), F.col("_c.i").alias("_from"))
+def _marks(bars: DataFrame, cal: SessionCalendar) -> DataFrame:
+    """Last close per security and session, with the session it is from: each close lasts until the next one."""
+    closes = with_session_idx(bars.where(F.col("close").isNotNull()).select("security_id", "trade_date", "close"), cal, "trade_date", "_from").where(F.col("_from").isNotNull())
+    order = Window.partitionBy("security_id").orderBy("_from")
+    until = F.coalesce(F.lead("_from").over(order) - 1, F.lit(cal.size - 1))
+    return closes.withColumn("_until", until).select("security_id", F.col("close").alias("_close"), "_from", F.explode(F.sequence("_from", "_until")).alias("_at"))
 
 
 def _on_session(df: DataFrame, index: str, day: str) -> DataFrame:
@@ -339,9 +336,8 @@ def daily_nav(entries: DataFrame, bars: DataFrame, cal: SessionCalendar, opening
         F.sum("_dq").over(run).alias("_q"), F.sum("_dc").over(run).alias("_cost"),
     ).where(F.col("_q") != 0)
     held = states.select(*POSITION, "_q", "_cost", F.explode(F.sequence("_from", "_to")).alias("_at"))
-    marks = _marks(bars, held.select("security_id", "_at").distinct(), cal)
     close = F.when(F.col("_close").isNull(), F.raise_error(F.concat(F.lit("no visible close for held security "), F.col("security_id")))).otherwise(money("_close"))
-    valued = held.join(marks, ["security_id", "_at"], "left").groupBy("portfolio_id", "_at").agg(
+    valued = held.join(_marks(bars, cal), ["security_id", "_at"], "left").groupBy("portfolio_id", "_at").agg(
         F.sum((close * F.col("_q").cast("decimal(16,0)")).cast("decimal(28,2)")).cast("decimal(28,2)").alias("mv"), F.sum("_cost").cast("decimal(28,2)").alias("cost")
     )
     daily = located.groupBy("portfolio_id", F.col("_i").alias("_at")).agg(
