@@ -14,6 +14,7 @@ import time
 import duckdb
 
 from tidemark.session import build_session
+from tidemark.staging import release
 from workload import all_cases
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -81,6 +82,7 @@ def main() -> int:
                 print("   oracle only", r)
         else:
             print(f"ok    {name}: {len(got)} rows spark {spent:.1f}s oracle {time.time() - started:.1f}s", flush=True)
+    release(spark)
     print("FAILED:", bad)
     return 1 if bad else 0
 

@@ -23,6 +23,8 @@ BUSINESS_PATTERN = "权益分派|分红|派息|现金红利|送股|转增|配股
 CORRECTION_PATTERN = "更正|补充|订正"
 KEYWORDS = ("权益分派", "分红派息", "现金红利", "配股", "转增", "送股", "合并", "吸收合并", "要约", "退市", "更正", "补充")
 BUSINESS_TERMS = ("分红", "派息", "股息", "分派", "利润分配", "权益分派", "现金分红", "红利", "除权", "除息", "送股", "转增", "配股", "缩股")
+# Business words listed beside a correction.
+MATCHED_TERMS = "权益分派|分红|派息|现金红利|送股|转增|配股"
 IMPLEMENTATION_TITLES = ("实施公告", "实施的公告", "股息派发公告", "支付H股股东")
 PROPOSAL_TITLES = ("利润分配方案", "利润分配预案", "利润分配的公告", "分派方案", "分红方案", "分红回报规划", "现金分红计划")
 IMPLEMENTATION_MARKER = "实施公告"
@@ -123,6 +125,11 @@ def nearest_titles(corrections: DataFrame, candidates: DataFrame, k: int = 3, bu
     return ranked.select("security_id", "adjunct_url", "position", "text", F.col("distance").alias("minutes"))
 
 
+def matched_terms(title: Column, pattern: str = MATCHED_TERMS) -> Column:
+    """Business words of a title, each once, in order, joined by |."""
+    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(title, F.lit(pattern), F.lit(0)))), "|")
+
+
 # -- titles -----------------------------------------------------------------------------
 
 

@@ -66,6 +66,17 @@ def _(t):
     return evd.nearest_titles(_corrections(t), _anchors(t))
 
 
+@case(
+    "j14_matched_terms",
+    "security_id:s adjunct_url:s terms:s",
+    f"select security_id, adjunct_url, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(title, '{evd.MATCHED_TERMS}'))), '|'), '') as terms from anns",
+    ("announcements_src",),
+    STEP,
+)
+def _(t):
+    return _rows(t).select("security_id", "adjunct_url", evd.matched_terms(F.col("title")).alias("terms"))
+
+
 @case(
     "j15_verify_fingerprints",
     "check:s key:s detail:s",
