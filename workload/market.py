@@ -187,15 +187,13 @@ def _(t):
 
 @case(
     "f5_with_companions",
-    "column_name:s position:i",
-    """select column_name, position from (values ('security_id', 0), ('status', 1), ('status_available_at', 2), ('status_point_in_time_capability', 3), ('status_evidence_level', 4)) v(column_name, position)
-       where (select count(*) from master) > 0""",
+    "security_id:s status:s status_available_at:t status_point_in_time_capability:s status_evidence_level:s",
+    f"""select security_id, case when snapshot_at <= timestamp '{END}' then status end as status, case when snapshot_at <= timestamp '{END}' then snapshot_at end as status_available_at,
+       'CURRENT_SNAPSHOT_ONLY' as status_point_in_time_capability, 'EXPLORATORY_TAINTED' as status_evidence_level from master where available_at <= timestamp '{END}'""",
     ("master",),
 )
 def _(t):
-    seen = pit.pit_query(t.master, "security_master", END, columns=["security_id", "status"])
-    names = F.array(*[F.lit(c) for c in seen.columns])
-    return seen.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.posexplode(names).alias("position", "column_name"))
+    return pit.pit_query(t.master, "security_master", END, columns=["security_id", "status"])
 
 
 @case(
