@@ -101,7 +101,9 @@ def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     listed = stage(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(_digests, f"doc_id {kind}, tkey bigint, units array<bigint>"), "units")
     places = listed.select(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tkey").alias("_row"), F.posexplode("units").alias("_place", "_unit"))
-    firsts = places.groupBy("_unit").agg(F.count("*").alias("_times"), F.min(F.struct("_row", "_place")).alias("_first")).where("_times > 1").select("_unit", "_first")
+    # Staged, so that the join below has two plain inputs: Spark can then split a hot unit, which it
+    # cannot where one input is the aggregation by the same key.
+    firsts = stage(places.groupBy("_unit").agg(F.count("*").alias("_times"), F.min(F.struct("_row", "_place")).alias("_first")).where("_times > 1").select("_unit", "_first"), "firsts")
     later = places.join(firsts, "_unit").where(F.struct("_row", "_place") != F.col("_first"))
     again = later.groupBy("_row").agg(F.collect_set("_place").alias("_again")).select(F.col("_row.doc_id").alias("_id"), F.col("_row.tkey").alias("_tk"), "_again")
     marked = docs.withColumn("_tkey", F.xxhash64("text"))
