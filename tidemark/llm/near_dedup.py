@@ -21,8 +21,8 @@ A document is its set of distinct ``shingle``-word shingles. Two documents are l
    component alone cannot be shared across and come first, and what is left of both sets after a
    shared shingle must suffice, so copies with edits of their own do not meet in the common text. Only pairs of different components are compared.
 
-No group is gathered in one task: lists are joined, so Spark can split a hot list, and every table
-that is read again is staged. The chance that a link of exactly 0.85 has under 42 of 64 collisions
+No group is gathered in one task: lists are joined with staged tables, never with an aggregation by
+the same key, so Spark can split a hot list. The chance that a link of exactly 0.85 has under 42 of 64 collisions
 is about 2e-5, and falls fast above that.
 """
 
@@ -123,7 +123,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stage(labels, "labels")
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), F.col("component")), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
-        nearest = labels.join(around, "node").select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_mid"))
+        nearest = stage(labels.join(around, "node").select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_mid")), "nearest")
         jumped = nearest.join(nearest.select(F.col("node").alias("_mid"), F.col("_mid").alias("_far")), "_mid").select("node", F.least("_mid", "_far").alias("component"), "_old")
         jumped = stage(jumped, "labels")
         labels = jumped.select("node", "component")
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     # Lists of two classes or more; classes that keep enough of their tokens in them.
     posts = nodes.select("cls", "n", F.explode("tokens").alias("token"))
-    lists = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    lists = stage(posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "lists")
     shared = posts.join(lists, "token").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_posts")).where(F.size("_posts") >= matches)
     able = stage(shared.select("cls", "n", "_posts"), "able")
 
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     # Support: shingles that two candidates have.
     each = held.select("cls", F.explode("shingles").alias("_s"))
-    common = each.groupBy("_s").agg(F.count("*").alias("_df")).where("_df > 1").select("_s")
+    common = stage(each.groupBy("_s").agg(F.count("*").alias("_df")).where("_df > 1").select("_s"), "common")
     support = each.join(common, "_s").groupBy("cls").agg(F.count("*").alias("_common"))
     lasting = able.join(support, "cls").where(F.col("_common") * 100 >= F.col("n") * percent)
     prefix = F.expr(f"slice(_posts, 1, size(_posts) - {matches - 1})")
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     # Each list beside two of its members.
     leading = posted.groupBy("token").agg(F.max(F.struct("_weight", F.xxhash64("cls"), "cls", "size")).alias("_x"), F.max(F.struct(F.xxhash64("cls"), "cls", "size")).alias("_y"))
-    leading = leading.select("token", F.explode(F.array_distinct(F.array(F.struct("_x.cls", "_x.size"), F.struct("_y.cls", "_y.size")))).alias("_l"))
+    leading = stage(leading.select("token", F.explode(F.array_distinct(F.array(F.struct("_x.cls", "_x.size"), F.struct("_y.cls", "_y.size")))).alias("_l")), "leading")
     beside = posted.join(leading, "token").where((F.col("cls") != F.col("_l.cls")) & _may_link(F.col("size"), F.col("_l.size"), percent))
     tried = stage(_ordered(beside, F.col("cls"), F.col("_l.cls")), "tried")
     links = stage(_confirm(tried, held, percent, matches), "found")
@@ -197,10 +197,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # Members of lists that still hold several components: pairs across them that share one of the
     # rarest shingles of either, as many as a link cannot do without, but for those tried.
     placed = posted.join(labels, posted["cls"] == labels["node"], "left").select("token", "cls", "size", F.coalesce("component", "cls").alias("component"))
-    split = placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("token")
+    split = stage(placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("token"), "split")
     unsettled = stage(placed.join(split, "token").groupBy("cls").agg(F.first("component").alias("component")), "open")
     each = held.join(unsettled, "cls").select("cls", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("_s"))
     across = each.groupBy("_s").agg(F.count("*").alias("_df"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("_s", "_df")
+    across = stage(across, "across")
     ranked = each.join(across, "_s").groupBy("cls").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("_df", "_s"))).alias("_ranked"))
     ranked = ranked.withColumn("_reach", F.expr(f"size(_ranked) - (n * {percent} + 99) div 100 + 1")).where("_reach > 0")
     first = ranked.select("cls", "component", "n", F.size("_ranked").alias("_all"), F.posexplode(F.expr("transform(slice(_ranked, 1, int(_reach)), x -> x._s)")).alias("_at", "_s"))
