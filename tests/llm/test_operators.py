@@ -390,3 +390,22 @@ def test_pipeline_stages_against_plain_versions(spark, docs, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == {r.doc_id for r in held.collect()}
+
+
+def test_mixing_stage_keeps_every_document_in_slot_order(spark):
+    made = [(i, prose(i, 600), "en", "big") for i in range(200)] + [(900, "one short text", "en", "tiny"), (901, "another one", "en", None), (None, "no id", "en", "big"), (None, "no id", "en", "big")]
+    table = spark.createDataFrame([(*r, len(r[1])) for r in made], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    held = corpus_pipeline.mixing_stage(spark, table, "")
+    assert sorted(map(tuple, held.collect()), key=key) == sorted(map(tuple, table.collect()), key=key)
+    slot_of = {r.doc_id: r.slot for r in mixing.mix(table).rows.collect() if r.doc_id is not None}
+    order = [slot_of[r.doc_id] for r in held.collect() if r.doc_id is not None]
+    assert order == sorted(order) and len(set(order)) > 10
+    packed = corpus_pipeline.packing_stage(spark, held, "").collect()
+    assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == collections.Counter(r[0] for r in made)
+    windows = packing.pack(table, shard_tokens=20_000, window=table["doc_id"] % 3).collect()
+    bins = collections.defaultdict(set)
+    for r in windows:
+        bins[r.bin_id].add(None if r.doc_id is None else r.doc_id % 3)
+    assert all(len(v) == 1 for v in bins.values()) and collections.Counter(r.doc_id for r in windows) == collections.Counter(r[0] for r in made)
+    seen = [next(iter(bins[k])) for k in sorted(bins)]
+    assert seen == sorted(seen, key=lambda x: (x is None, x))

@@ -65,21 +65,23 @@ def one_period(shares: dict[str, int], period: int) -> list[tuple[str, int, int]
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, period: int = PERIOD, block: int = BLOCK) -> Mix:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, period: int = PERIOD, block: int = BLOCK, carry: tuple[str, ...] = ()) -> Mix:
     """Schedule every row of ``docs`` (doc_id, source, text).
 
     Sizes are code points. Without ``weights`` a source's target is its size to the power ``alpha``.
     Columns of ``rows``: doc_id, source, size, block, release, deadline, slot, in_mix. A text belongs to the
     block in which it begins; one longer than a block uses up the following ones too. ``in_mix`` holds for the
     slots before the first source has no whole block left; there the mix is at its targets. Later texts still
-    have their slots. Null texts are empty, a null source is the source ''. Rows with one doc_id are
+    have their slots: a source that runs out leaves its slots empty, and the others go on in their own proportions.
+    Null texts are empty, a null source is the source ''. Rows with one doc_id are
     ordered by text; equal rows take places after each other. Sources without a positive weight have no
-    slot and are not in the mix. An empty table gives no rows. Other columns are not read.
+    slot and are not in the mix. An empty table gives no rows. ``carry`` names small columns to hand through; others
+    are not read.
     """
     spark = docs.sparkSession
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    light = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(text).cast("long").alias("size"), order.alias("_order"), F.substring(order, 1, 3).alias("_bucket"), F.md5(text.cast("binary")).alias("_tie"))
+    light = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(text).cast("long").alias("size"), order.alias("_order"), F.substring(order, 1, 3).alias("_bucket"), F.md5(text.cast("binary")).alias("_tie"), *carry)
     light = stage(light, "sizes")
     totals = {r["source"]: r["size"] for r in light.groupBy("source").agg(F.sum("size").alias("size")).limit(period + 1).collect()}
     wanted = {k: float(n) ** alpha if n else 0.0 for k, n in totals.items()} if weights is None else {k: weights.get(k, 0.0) for k in totals}
@@ -103,6 +105,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         F.expr(f"(block * {period}L) div _units").alias("release"),
         F.expr(f"((block + 1) * {period}L + _units - 1) div _units").alias("deadline"),
         F.expr(f"(block div _units) * {period}L + _slot").alias("slot"),
+        *carry,
     )
     return Mix(rows.withColumn("in_mix", F.coalesce(F.col("slot") < F.lit(horizon), F.lit(False))), shares, horizon)
 

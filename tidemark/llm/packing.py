@@ -7,7 +7,9 @@ length that holds its contents, so lengths are settled by contents, all permitte
 
 Greedy packing is sequential, so the items are dealt into shards of about ``shard_tokens`` by a hash:
 the number of shards follows the data, a shard stays in one task's memory (lengths and ids only), and
-costs one part-filled bin of each length at most.
+costs one part-filled bin of each length at most. With a ``window`` rows of different windows never share
+a bin and bins are numbered in the order of the windows, so that an order of the rows reaches the sequences;
+a window of more than ``shard_tokens`` is dealt into shards like a table.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import word_list
+from tidemark.staging import stage
 
 CAPACITIES, SHARD_TOKENS = (512, 1024, 2048, 4096), 1_000_000
+#: Bits of a bin's number within its shard, and of a shard's within its window; the window has the rest.
+BIN_BITS, SHARD_BITS, LAST_WINDOW = 28, 14, (1 << 21) - 1
 
 
 def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], costs: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,19 +58,23 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], costs: tuple[floa
     return bin_of, offset, sizes[np.searchsorted(sizes, used)], used
 
 
-def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, costs: tuple[float, ...] | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, costs: tuple[float, ...] | None = None, shard_tokens: int = SHARD_TOKENS, window: Column | None = None) -> DataFrame:
     """One row per packed piece of every row of ``docs`` (doc_id, text).
 
     ``length`` defaults to the words of the text and one end token, so empty and null texts take one token.
     Texts longer than the largest capacity are cut into pieces of it, whose rest is packed like any text.
     Columns: bin_id, capacity, used, bin_offset, doc_id, piece, piece_start, n_tokens. Rows of one doc_id are
-    packed each for itself; a null doc_id is kept; an empty table gives no rows. Other columns are not read.
+    packed each for itself; a null doc_id is kept; an empty table gives no rows. ``window`` counts from 0, below
+    ``LAST_WINDOW``; rows where it is null form the last one. Other columns are not read.
     """
     largest = max(capacities)
     costs = costs or tuple(float(c) for c in capacities)
     length = (F.size(word_list(F.col("text"))) + 1) if length is None else length
-    items = docs.select("doc_id", length.cast("long").alias("_n"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_key"))
-    shards = max(1, -(-(items.agg(F.sum("_n")).first()[0] or 0) // shard_tokens))
+    key = F.xxhash64(F.lit(1), "doc_id", "text").alias("_key")
+    items = docs.select("doc_id", length.cast("long").alias("_n"), key, *([] if window is None else [F.coalesce(window.cast("long"), F.lit(LAST_WINDOW)).alias("_window")]))
+    if window is not None:
+        items = stage(items.where("_n > 0"), "items")
+    shards = 1 if window is not None else max(1, -(-(items.agg(F.sum("_n")).first()[0] or 0) // shard_tokens))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def one_shard(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
@@ -77,7 +86,12 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
         order = np.lexsort((piece, rows["_key"].to_numpy()[row], -size))
         row, piece, size = row[order], piece[order], size[order]
         bin_of, offset, capacity, used = best_fit(size, capacities, costs)
-        return pd.DataFrame({"bin_id": (int(key[0]) << 32) + bin_of, "capacity": capacity[bin_of], "used": used[bin_of], "bin_offset": offset, "doc_id": rows["doc_id"].to_numpy()[row], "piece": piece, "piece_start": piece * largest, "n_tokens": size})
+        return pd.DataFrame({"bin_id": (int(key[0]) << bits) + bin_of, "capacity": capacity[bin_of], "used": used[bin_of], "bin_offset": offset, "doc_id": rows["doc_id"].to_numpy()[row], "piece": piece, "piece_start": piece * largest, "n_tokens": size})
 
-    dealt = items.where("_n > 0").withColumn("_shard", F.pmod(F.xxhash64("_key", F.lit(2)), F.lit(shards)))
+    bits, dealt, parts = 32, items.where("_n > 0"), F.lit(shards)
+    if window is not None:
+        bits, parts = BIN_BITS, F.expr(f"least((_total + {shard_tokens - 1}) div {shard_tokens}, {1 << SHARD_BITS})")
+        dealt = dealt.join(items.groupBy("_window").agg(F.sum("_n").alias("_total")), "_window")
+    shard = F.pmod(F.xxhash64("_key", F.lit(2)), parts)
+    dealt = dealt.select("doc_id", "_n", "_key", (shard if window is None else F.col("_window") * (1 << SHARD_BITS) + shard).alias("_shard"))
     return dealt.groupBy("_shard").applyInPandas(one_shard, f"bin_id bigint, capacity bigint, used bigint, bin_offset bigint, doc_id {kind}, piece bigint, piece_start bigint, n_tokens bigint")
