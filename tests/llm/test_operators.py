@@ -409,3 +409,13 @@ def test_mixing_stage_keeps_every_document_in_slot_order(spark):
     assert all(len(v) == 1 for v in bins.values()) and collections.Counter(r.doc_id for r in windows) == collections.Counter(r[0] for r in made)
     seen = [next(iter(bins[k])) for k in sorted(bins)]
     assert seen == sorted(seen, key=lambda x: (x is None, x))
+
+
+def test_near_dedup_stage_keeps_rows_of_one_id_apart(spark):
+    base = prose(1, 160)
+    good = [(0, base, "a"), (7, prose(2, 90), "a"), (7, prose(3, 90), "a"), (None, prose(4, 90), "a"), (None, prose(5, 90), "a"), (8, prose(6, 90), "a")]
+    gone = [(7, edited(base, 1, 1), "a"), (None, prose(4, 90), "b"), (8, prose(6, 90), "b"), (8, prose(6, 90), "a"), (9, prose(2, 90), "a")]
+    table = spark.createDataFrame([(k, t, "en", s, len(t)) for k, t, s in good + gone], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.near_dedup_stage(spark, table, "").collect()]
+    assert sorted(got, key=key) == sorted(good, key=key)
+    assert near_dedup.near_duplicates(table).columns == ["doc_id", "n_shingles", "component_id", "kept"]

@@ -147,13 +147,14 @@ def _may_link(x: Column, y: Column, percent: int) -> Column:
     return most * (100 + percent) >= (x["n"] + y["n"]) * percent
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, keys: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the smallest doc_id that links reach, ``kept`` tells whether it is the row's own.
     Empty and null texts have no shingles and are alone. Rows with equal sets are one class, so repeated
     rows share their answer. A null doc_id is never a component's id if another row has one; a component
-    of null ids only has a null id and is kept. Other columns are not read.
+    of null ids only has a null id and is kept. With ``keys`` a row also has ``text_key``, the xxhash64 of its text,
+    and ``class_id``, which rows with equal sets share. Other columns are not read.
     """
     source = docs.select("doc_id", "text").withColumn("tkey", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -215,10 +216,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         labels = components(links.union(late))
 
     # Back to rows: the least doc_id of each component.
-    rows = signed.select("doc_id", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("_component"))
+    rows = signed.select("doc_id", "n", "cls", "tkey").join(labels, F.col("cls") == F.col("node"), "left").select("doc_id", "n", "cls", "tkey", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("_component"))
     least = stage(rows.where("n > 0").groupBy("_component").agg(F.min("doc_id").alias("_least")), "least")
     out = rows.join(least, "_component", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *([F.col("tkey").alias("text_key"), F.col("cls").alias("class_id")] if keys else []))
 
 
 def _ordered(df: DataFrame, x: Column, y: Column) -> DataFrame:
