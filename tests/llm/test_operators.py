@@ -419,3 +419,20 @@ def test_near_dedup_stage_keeps_rows_of_one_id_apart(spark):
     got = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.near_dedup_stage(spark, table, "").collect()]
     assert sorted(got, key=key) == sorted(good, key=key)
     assert near_dedup.near_duplicates(table).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def test_toxicity_learns_pairs_of_words_that_tell_nothing_alone():
+    def text(i):
+        w = prose(i, 60).split(" ")
+        w[10], w[30] = ["groupa", "groupb"][i % 2], ["insulta", "insultb"][i // 2 % 2]
+        return " ".join(w)
+
+    def found(i):
+        data = np.frombuffer(text(i).encode(), np.uint8)
+        return next(iter(toxicity.terms(np.array([0, len(data)]), data)))
+
+    toxic = np.array([float(i % 2 == i // 2 % 2) for i in range(1800)])
+    rows = [found(i) for i in range(1800)]
+    model = toxicity.train(rows[:1200], toxic[:1200])
+    raw = np.array([model.raw(s, x, np.zeros(1, np.int64))[0] for s, x in rows[1200:]])
+    assert ((raw > 0) == (toxic[1200:] == 1)).mean() >= 0.9

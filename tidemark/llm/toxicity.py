@@ -23,6 +23,8 @@ from tidemark.llm.common import batch, fold, mix, runs, words
 
 MOST_TOXIC, MOST_OTHER, SLOTS, FACTORS, THRESHOLD = 3000, 5000, 1 << 18, 4, 0.7
 HEADS = (6, 8, 10)
+#: First sum of squares of Adagrad where all terms learn: what few rows say moves a term little.
+DAMPING = 10_000.0
 
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
@@ -55,31 +57,37 @@ class Machine:
         return self.bias + np.add.reduceat(self.linear[slots] * weights, starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((v**2).sum(1), starts))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 20, rate: float = 0.15, decay: float = 1e-3, seed: int = 3, least: int = 8, telling: float = 4.5) -> Machine:
-    """Adagrad on the logistic loss, in seeded mini-batches, both classes weighing alike; only terms of ``least`` rows or more whose share differs between the two by ``telling`` standard errors are learned."""
-    rng = np.random.default_rng(seed)
-    model = Machine(0.0, np.zeros(SLOTS), np.zeros((SLOTS, FACTORS)))
-    if not rows or y.min() == y.max():
-        model.bias = 0.0 if not rows else (3.0 if y[0] else -3.0)
-        return model
-    all_of = np.bincount(np.concatenate([s for s, _ in rows]), minlength=SLOTS)
-    toxic_of = np.bincount(np.concatenate([s for (s, _), t in zip(rows, y, strict=True) if t]), minlength=SLOTS)
-    n, n1 = len(rows), y.sum()
-    share_of = all_of / n
-    apart = toxic_of / n1 - (all_of - toxic_of) / (n - n1)
-    known = (all_of >= least) & (all_of < n) & (np.abs(apart) >= telling * np.sqrt(share_of * (1 - share_of) * (1 / n1 + 1 / (n - n1))))
-    model.factors[known] = rng.normal(0, 0.1, (int(known.sum()), FACTORS))
-    kept = [(s[known[s]], x[known[s]]) for s, x in rows]
-    kept = [(s, x) if len(s) else (np.zeros(1, np.int64), np.zeros(1)) for s, x in kept]
+def _sparse(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(s) for s, _ in rows])
+    return np.concatenate([s for s, _ in rows]), np.concatenate([x for _, x in rows]), size
+
+
+def _fair(y: np.ndarray) -> np.ndarray:
+    """Weights with which both classes weigh alike."""
     share = y.mean()
-    fair = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    g_bias, g_linear, g_factors = 1e-6, np.full(SLOTS, 1e-6), np.full((SLOTS, FACTORS), 1e-6)
-    for _ in range(epochs):
-        order = rng.permutation(len(kept))
+    return np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+
+
+def _known(rows: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    kept = [(s[known[s]], x[known[s]]) for s, x in rows]
+    return [(s, x) if len(s) else (np.zeros(1, np.int64), np.zeros(1)) for s, x in kept]
+
+
+def _loss(model: Machine, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> float:
+    slots, x, size = _sparse(rows)
+    raw = np.clip(model.raw(slots, x, np.cumsum(size) - size), -30, 30)
+    return float(np.average(np.log1p(np.exp(np.where(y == 1, -raw, raw))), weights=_fair(y)))
+
+
+def _descend(model: Machine, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rng: np.random.Generator, rate: float, slower: float, decay: float, damping: float) -> Iterator[None]:
+    """Adagrad on the logistic loss, in seeded mini-batches, one epoch a step; ``damping`` holds back terms of few rows."""
+    fair = _fair(y)
+    g_bias, g_linear, g_factors = 1e-6, np.full(SLOTS, damping), np.full((SLOTS, FACTORS), damping)
+    while True:
+        order = rng.permutation(len(rows))
         for lo in range(0, len(order), 128):
             part = order[lo : lo + 128]
-            slots, x = np.concatenate([kept[i][0] for i in part]), np.concatenate([kept[i][1] for i in part])
-            size = np.array([len(kept[i][0]) for i in part])
+            slots, x, size = _sparse([rows[i] for i in part])
             starts = np.cumsum(size) - size
             error = 1 / (1 + np.exp(-np.clip(model.raw(slots, x, starts), -30, 30))) - y[part]
             error *= fair[part]
@@ -93,9 +101,68 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int
             g_linear[touched] += d_linear**2
             g_factors[touched] += d_factors**2
             model.linear[touched] -= rate * d_linear / np.sqrt(g_linear[touched])
-            model.factors[touched] -= 0.2 * rate * d_factors / np.sqrt(g_factors[touched])
+            model.factors[touched] -= slower * rate * d_factors / np.sqrt(g_factors[touched])
             g_bias += error.sum() ** 2
             model.bias -= rate * error.sum() / np.sqrt(g_bias)
+        yield
+
+
+def _base(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, rate: float, decay: float, seed: int, least: int, telling: float) -> tuple[Machine, np.ndarray]:
+    """A model of the terms of ``least`` rows or more whose share differs between the classes by ``telling`` standard errors, and which those are."""
+    rng = np.random.default_rng(seed)
+    model = Machine(0.0, np.zeros(SLOTS), np.zeros((SLOTS, FACTORS)))
+    all_of = np.bincount(np.concatenate([s for s, _ in rows]), minlength=SLOTS)
+    toxic_of = np.bincount(np.concatenate([s for (s, _), t in zip(rows, y, strict=True) if t]), minlength=SLOTS)
+    n, n1 = len(rows), y.sum()
+    share_of = all_of / n
+    apart = toxic_of / n1 - (all_of - toxic_of) / (n - n1)
+    known = (all_of >= least) & (all_of < n) & (np.abs(apart) >= telling * np.sqrt(share_of * (1 - share_of) * (1 / n1 + 1 / (n - n1))))
+    model.factors[known] = rng.normal(0, 0.1, (int(known.sum()), FACTORS))
+    epoch = _descend(model, _known(rows, known), y, rng, rate, 0.2, decay, 1e-6)
+    for _ in range(epochs):
+        next(epoch)
+    return model, known
+
+
+def _rest(model: Machine, known: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rate: float, decay: float, seed: int) -> Iterator[None]:
+    """Go on with factors for every other term of the sample too, an epoch a step."""
+    rng = np.random.default_rng(seed + 1)
+    fresh = (np.bincount(np.concatenate([s for s, _ in rows]), minlength=SLOTS) > 0) & ~known
+    model.factors[fresh] = rng.normal(0, 0.02, (int(fresh.sum()), FACTORS))
+    return _descend(model, rows, y, rng, rate, 1.0, decay, DAMPING)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 20, rate: float = 0.15, decay: float = 1e-3, seed: int = 3, least: int = 8, telling: float = 4.5, steps: int = 3000, patience: int = 1000) -> Machine:
+    """Fit in two parts: terms that tell the classes apart alone, then all terms of the sample, for pairs and rare terms.
+
+    How long the second part goes on, if at all, is read off a sixth of the rows that the trial run does not learn from:
+    it stops after ``patience`` mini-batches without gain, or at ``steps``. The model is then fitted on all rows as long.
+    """
+    if not rows or y.min() == y.max():
+        return Machine(0.0 if not rows else (3.0 if y[0] else -3.0), np.zeros(SLOTS), np.zeros((SLOTS, FACTORS)))
+    best_epoch = 0
+    aside = np.zeros(len(rows), bool)
+    for k in (0, 1):
+        mine = np.random.default_rng(seed).permutation(np.flatnonzero(y == k))
+        aside[mine[: len(mine) // 6]] = True
+    if y[aside].sum() and (1 - y[aside]).sum():
+        some, held = [r for r, a in zip(rows, aside, strict=True) if not a], [r for r, a in zip(rows, aside, strict=True) if a]
+        model, known = _base(some, y[~aside], epochs, rate, decay, seed, least, telling)
+        best = _loss(model, held, y[aside]) - 1e-3
+        each = -(-len(some) // 128)
+        epoch = _rest(model, known, some, y[~aside], rate, decay, seed)
+        for k in range(1, -(-steps // each) + 1):
+            next(epoch)
+            loss = _loss(model, held, y[aside])
+            if loss < best:
+                best, best_epoch = loss, k
+            elif (k - best_epoch) * each >= patience:
+                break
+    model, known = _base(rows, y, epochs, rate, decay, seed, least, telling)
+    if best_epoch:
+        epoch = _rest(model, known, rows, y, rate, decay, seed)
+        for _ in range(best_epoch):
+            next(epoch)
     return model
 
 
