@@ -436,3 +436,15 @@ def test_toxicity_learns_pairs_of_words_that_tell_nothing_alone():
     model = toxicity.train(rows[:1200], toxic[:1200])
     raw = np.array([model.raw(s, x, np.zeros(1, np.int64))[0] for s, x in rows[1200:]])
     assert ((raw > 0) == (toxic[1200:] == 1)).mean() >= 0.9
+
+
+def test_mixing_of_more_sources_than_slots(spark):
+    many = spark.createDataFrame([(i, "" if i % 2 else "text of its own", f"s{i:02}") for i in range(60)], "doc_id bigint, text string, source string")
+    few = mixing.mix(many, {"s58": 3.0, "s59": 1.0, "none": 1.0, "s00": 0.0}, period=8, block=5)
+    assert few.shares == {"s58": 6, "s59": 2} and few.period == 8
+    assert {r.source for r in few.rows.where("slot is not null").collect()} == {"s58", "s59"}
+    every = mixing.mix(many, period=20, block=5)
+    got = every.rows.collect()
+    assert every.period == 300 and sum(every.shares.values()) == 300 and len(every.shares) == 30
+    assert len(got) == 60 and all((r.slot is None) == (r.size == 0) for r in got)
+    assert all(r.release <= r.slot < r.deadline for r in got if r.slot is not None)

@@ -6,7 +6,7 @@ ceil((k + 1) * period / u); every slot goes to the released block with the earli
 slot each source has then had less than one block more or less than its weight asks for.
 
 Releases and deadlines repeat every ``period`` slots, so the schedule of one period, a table bounded by
-that parameter, gives the slot of every block of any amount of data. Only running sizes are computed
+that parameter or by the number of sources, gives the slot of every block of any amount of data. Only running sizes are computed
 over the data, in buckets of the order, so that a hot source is spread.
 """
 
@@ -26,11 +26,12 @@ PERIOD, BLOCK, ALPHA = 1000, 20_000, 0.8
 
 @dataclass(frozen=True)
 class Mix:
-    """``rows``: each text's block and slot; ``shares``: units of a period by source; ``horizon``: slots before a source runs out."""
+    """``rows``: each text's block and slot; ``shares``: units of a period by source; ``horizon``: slots before a source runs out; ``period``: its slots."""
 
     rows: DataFrame
     shares: dict[str, int]
     horizon: int
+    period: int = PERIOD
 
 
 def units(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -47,6 +48,11 @@ def units(weights: dict[str, float], period: int) -> dict[str, int]:
     return given
 
 
+def period_for(sources: int, period: int) -> int:
+    """``period``, or where more sources have a weight than it has slots, ten slots a source, so that weights still differ."""
+    return period if sources <= period else 10 * sources
+
+
 def one_period(shares: dict[str, int], period: int) -> list[tuple[str, int, int]]:
     """(source, block, slot) of a period: earliest deadline first among released blocks, ties by name."""
     waiting = [(0, k, 0) for k in sorted(shares)]
@@ -75,7 +81,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     have their slots: a source that runs out leaves its slots empty, and the others go on in their own proportions.
     Null texts are empty, a null source is the source ''. Rows with one doc_id are
     ordered by text; equal rows take places after each other. Sources without a positive weight have no
-    slot and are not in the mix. An empty table gives no rows. ``carry`` names small columns to hand through; others
+    slot and are not in the mix. The driver holds one number a weighted source, and ``period`` grows where there are
+    more of them than slots (``period_for``). An empty table gives no rows. ``carry`` names small columns to hand through; others
     are not read.
     """
     spark = docs.sparkSession
@@ -83,8 +90,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     text = F.coalesce(F.col("text"), F.lit(""))
     light = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(text).cast("long").alias("size"), order.alias("_order"), F.substring(order, 1, 3).alias("_bucket"), F.md5(text.cast("binary")).alias("_tie"), *carry)
     light = stage(light, "sizes")
-    totals = {r["source"]: r["size"] for r in light.groupBy("source").agg(F.sum("size").alias("size")).limit(period + 1).collect()}
-    wanted = {k: float(n) ** alpha if n else 0.0 for k, n in totals.items()} if weights is None else {k: weights.get(k, 0.0) for k in totals}
+    weighted = None if weights is None else [k for k, w in weights.items() if w > 0]
+    mixed = light.where("size > 0") if weighted is None else light.where(F.col("source").isin(weighted))
+    totals = {r["source"]: r["size"] for r in mixed.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    wanted = {k: float(n) ** alpha for k, n in totals.items()} if weights is None else {k: weights[k] for k in totals}
+    period = period_for(len(wanted), period)
     shares = units(wanted, period)
     slots = one_period(shares, period)
 
@@ -107,7 +117,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         F.expr(f"(block div _units) * {period}L + _slot").alias("slot"),
         *carry,
     )
-    return Mix(rows.withColumn("in_mix", F.coalesce(F.col("slot") < F.lit(horizon), F.lit(False))), shares, horizon)
+    return Mix(rows.withColumn("in_mix", F.coalesce(F.col("slot") < F.lit(horizon), F.lit(False))), shares, horizon, period)
 
 
 def mix_sql(alpha: float = ALPHA, period: int = PERIOD, block: int = BLOCK) -> str:
