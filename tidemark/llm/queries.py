@@ -13,6 +13,7 @@ from tidemark.llm.mixing import mix, mix_sql
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality, quality_sql
+from tidemark.llm.spelling import spelling_variants, vocabulary
 from tidemark.llm.substring_dedup import dedup_units, dedup_units_sql
 from tidemark.llm.token_counts import section_tokens
 from tidemark.llm.toxicity import toxicity
@@ -61,7 +62,11 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity_scores(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_language_id, op4_document_fingerprints, op5_token_counts, op6_minhash_near_dedup, op7_toxicity, op8_substring_dedup, op9_best_fit_packing, op10_class_lm)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(vocabulary(documents(spark, sf_dir), misprint=199))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_language_id, op4_document_fingerprints, op5_token_counts, op6_minhash_near_dedup, op7_toxicity, op8_substring_dedup, op9_best_fit_packing, op10_class_lm, op11_spelling_variants)}
 
 #: DuckDB SQL of the same rows. Components of near duplicates: all pairs with a shingle in common, then reachability.
 NEAR_SQL = r"""
