@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.class_lm import perplexity_scores
 from tidemark.llm.common import documents, labels
+from tidemark.llm.conversation_repair import repair_sql, repaired_conversations
+from tidemark.llm.cover_tree import near_vectors, near_vectors_sql
 from tidemark.llm.document_fingerprints import fingerprints
 from tidemark.llm.language_id import identify
 from tidemark.llm.mixing import mix, mix_sql
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality, quality_sql
-from tidemark.llm.spelling import spelling_variants, vocabulary
+from tidemark.llm.spelling import spelling_sql, spelling_variants, vocabulary
 from tidemark.llm.substring_dedup import dedup_units, dedup_units_sql
 from tidemark.llm.token_counts import section_tokens
 from tidemark.llm.toxicity import toxicity
@@ -66,7 +68,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(vocabulary(documents(spark, sf_dir), misprint=199))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_language_id, op4_document_fingerprints, op5_token_counts, op6_minhash_near_dedup, op7_toxicity, op8_substring_dedup, op9_best_fit_packing, op10_class_lm, op11_spelling_variants)}
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_language_id, op4_document_fingerprints, op5_token_counts, op6_minhash_near_dedup, op7_toxicity, op8_substring_dedup, op9_best_fit_packing, op10_class_lm, op11_spelling_variants, op12_embedding_near_dedup, op13_conversation_repair)}
 
 #: DuckDB SQL of the same rows. Components of near duplicates: all pairs with a shingle in common, then reachability.
 NEAR_SQL = r"""
@@ -83,4 +93,7 @@ ORACLES = {
     "op2_source_mixing": mix_sql(),
     "op6_minhash_near_dedup": NEAR_SQL,
     "op8_substring_dedup": dedup_units_sql(),
+    "op11_spelling_variants": spelling_sql(),
+    "op12_embedding_near_dedup": near_vectors_sql(),
+    "op13_conversation_repair": repair_sql(),
 }

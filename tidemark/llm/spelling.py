@@ -221,3 +221,26 @@ def spelling_variants(words: DataFrame, factor: int = FACTOR, least_length: int
         if hops.where("_moved").isEmpty():
             break
     return shaped.join(hops.select("word", "root"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+
+
+def spelling_sql(misprint: int = 199) -> str:
+    """DuckDB SQL of ``spelling_variants(vocabulary(documents, misprint=misprint))``: words meet under themselves with one place cut or open."""
+    return f"""
+with recursive crc as materialized (select list(v order by i) as t from (select i, list_reduce(range(0, 8), lambda c, k: case when (c & 1) = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as v from range(0, 256) r(i))),
+runs as (select coalesce(cast(doc_id as varchar), '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') as run from documents),
+letters as (select run, id || ':' || run as key from runs where length(run) >= {LEAST_LENGTH}),
+hashed as (select run, xor(list_reduce(flatten(list_transform(string_split(key, ''), lambda x: case when unicode(x) < 128 then [cast(unicode(x) as bigint)] else [cast(192 + (unicode(x) >> 6) as bigint), cast(128 + (unicode(x) & 63) as bigint)] end)), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as h from letters, crc),
+printed as (select case when h % {misprint} = 0 then run[1 : h % length(run)] || run[h % length(run) + 2 :] else run end as word from hashed),
+words as materialized (select word, count(*) as n from printed where length(word) >= {LEAST_LENGTH} group by word having count(*) >= {LEAST_COUNT}),
+places as materialized (select word, unnest(range(0, length(word))) as i from words),
+cut as materialized (select distinct word, word[1 : i] || word[i + 2 :] as short from places),
+opened as materialized (select word, word[1 : i] || '_' || word[i + 2 :] as pattern from places),
+near as materialized (
+  select a.word, b.word as other from opened a join opened b on a.pattern = b.pattern and a.word <> b.word
+  union select word, short from cut semi join words w on w.word = cut.short
+  union select short, word from cut semi join words w on w.word = cut.short),
+best as (select a.word, count(*) as n_near, min({{'less': -w.n, 'other': other}}) as top from near a join words w on w.word = a.other group by a.word),
+shaped as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when -top.less >= {FACTOR} * w.n then top.other end as form, case when -top.less >= {FACTOR} * w.n then -top.less end as form_n from words w left join best b on b.word = w.word),
+chain as (select word, word as root, 0 as step from words union all select c.word, s.form, c.step + 1 from chain c join shaped s on s.word = c.root where s.form is not null),
+last as (select word, max_by(root, step) as root from chain group by word)
+select s.word, cast(n as bigint) as n, cast(n_near as bigint) as n_near, form, cast(form_n as bigint) as form_n, root from shaped s join last l on l.word = s.word"""
