@@ -57,6 +57,36 @@ def asof_join(
     return result.select("_left.*", out)
 
 
+def asof_max(
+    left: DataFrame,
+    right: DataFrame,
+    by: Sequence[str],
+    left_ts: str,
+    right_ts: str,
+    rank: Sequence[str],
+    payload: Sequence[str],
+    bucket: str = "month",
+    out: str = "best",
+) -> DataFrame:
+    """Attach, of all right rows with ``right_ts <= left_ts``, the one of the largest ``rank`` values as a struct.
+
+    Like :func:`asof_join`, but the greatest row so far is carried, not the last one: inside a (key, bucket)
+    it runs over the bucket's rows, and across buckets over one summary row each. Equal ranks take the larger payload.
+    """
+    right = right.where(F.col(right_ts).isNotNull())
+    matched = F.struct(*[F.col(name) for name in rank], *[F.col(name) for name in payload if name not in rank])
+    left_side = left.withColumn("_ts", F.col(left_ts).cast("timestamp_ntz")).withColumn("_left", F.struct(*left.columns))
+    left_rows = left_side.select(*by, "_ts", F.lit(1).alias("_side"), "_left", F.lit(None).cast(_struct_type(right, matched)).alias("_right"))
+    right_rows = right.select(*by, F.col(right_ts).cast("timestamp_ntz").alias("_ts"), F.lit(0).alias("_side"), F.lit(None).cast(left_side.schema["_left"].dataType).alias("_left"), matched.alias("_right"))
+    rows = left_rows.unionByName(right_rows).withColumn("_bucket", F.date_trunc(bucket, F.col("_ts")))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = rows.withColumn("_in", F.max("_right").over(inside)).where("_side = 1").select(*by, "_bucket", "_left", "_in")
+    across = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    summary = rows.groupBy(*by, "_bucket").agg(F.max("_right").alias("_best")).withColumn("_before", F.max("_best").over(across)).drop("_best")
+    joined = carried.alias("c").join(summary.alias("s"), _all_equal([(F.col(f"c.{name}"), F.col(f"s.{name}")) for name in [*by, "_bucket"]]), "left")
+    return joined.select(F.col("c._left").alias("_left"), F.greatest("c._in", "s._before").alias(out)).select("_left.*", out)
+
+
 def _struct_type(df: DataFrame, struct):
     return df.select(struct.alias("s")).schema["s"].dataType
 
