@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tidemark.contracts import BLOCKED, NO_DATA, OK, STATUS_NORMAL, enforce, violation
 from tidemark.functions.pricing import reference_terms
 from tidemark.functions.scalars import market_close_ts, timestamp_literal
-from tidemark.operators.actions import orphan_ex_dates, versioned_inputs, visible_inputs
+from tidemark.operators.actions import orphan_ex_dates, pricing_inputs, versioned_inputs, visible_inputs
 from tidemark.operators.calendar import SessionCalendar, with_session_idx
-from tidemark.operators.pit import pit_query
+from tidemark.operators.pit import latest_revision, pit_query
 from tidemark.staging import stage
 
 NO_CLOSE = "MISSING_CLOSE_OR_PREVIOUS_CLOSE"
@@ -206,17 +206,11 @@ def asof_timeline(bars: DataFrame, actions: DataFrame, cal: SessionCalendar, aso
 
 @dataclass(frozen=True)
 class Timeline:
-    """A staged timeline and its later versions, shared by signals and labels."""
+    """A staged timeline and, per security, its later versions, shared by signals and labels."""
 
     rows: DataFrame
     late: DataFrame | None
 
-    def replay(self, pairs: DataFrame, key: list[str]) -> DataFrame | None:
-        """Exact results for pairs a later version touches; None when there are no versions."""
-        if self.late is None:
-            return None
-        return replay_windows(touched_pairs(pairs, self.late), key, self.rows, self.late)
-
 
 def prepare_timeline(bars: DataFrame, actions: DataFrame, cal: SessionCalendar, ids: DataFrame | None = None, check: bool = True) -> Timeline:
     """Build and stage the timeline of bars that are visible at their own close."""
@@ -224,8 +218,76 @@ def prepare_timeline(bars: DataFrame, actions: DataFrame, cal: SessionCalendar,
         enforce(late_bar_violations(bars))
     universe = bars if ids is None else bars.join(ids.select("security_id").distinct(), "security_id", "left_semi")
     base, later = versioned_timeline(universe, actions, cal)
-    late = stage(later, "late-versions")
-    return Timeline(stage(base, "timeline"), None if late.isEmpty() else late)
+    rows = stage(base, "timeline")
+    late = stage(late_versions(rows, later), "late-versions")
+    return Timeline(rows, None if late.isEmpty() else late)
+
+
+def late_versions(rows: DataFrame, later: DataFrame) -> DataFrame:
+    """Per security an array of its later versions, each as a change against the timeline.
+
+    A version says from when to when it holds, what it multiplies the growth and the adjustment of any
+    window over its bar by (zeros are counted apart), how its bar reads then, and the next BLOCKED and
+    NO_DATA rows after it. The array holds one security's late actions, which are few, never bars.
+    """
+    spans = Window.partitionBy("security_id", "bar_no", F.col("status").isNull()).orderBy("valid_from")
+    timed = later.withColumn("valid_to", F.when(F.col("status").isNotNull(), F.lead("valid_from").over(spans)))
+    here = rows.select("security_id", "bar_no", F.struct("status", "adjusted_return", "adjustment").alias("_base"))
+    after = rows.select("security_id", (F.col("bar_no") - 1).alias("bar_no"), F.struct(F.col("next_block").alias("block"), F.col("next_nodata").alias("nodata")).alias("_after"))
+    known = timed.join(here, ["security_id", "bar_no"], "left").join(after, ["security_id", "bar_no"], "left")
+
+    def factor(status: Column, value: Column) -> Column:
+        return F.when(status == OK, value).otherwise(1.0)
+
+    def change(name: str, late: Column, base: Column) -> list[Column]:
+        whole = lambda x: F.when(x != 0, x).otherwise(1.0)
+        zero = lambda x: F.when(x == 0, 1).otherwise(0)
+        return [(whole(late) / whole(base)).alias(name), (zero(late) - zero(base)).alias(f"{name}_zero")]
+
+    growth = [factor(F.col(f"{p}status"), F.col(f"{p}adjusted_return").cast("double") + 1.0) for p in ("", "_base.")]
+    adjust = [factor(F.col(f"{p}status"), F.col(f"{p}adjustment")) for p in ("", "_base.")]
+    version = F.struct(
+        "bar_no", "valid_from", "valid_to", "status", F.col("block_reason").alias("reason"), *change("growth", *growth), *change("adjust", *adjust), F.col("_after.block").alias("after_block"), F.col("_after.nodata").alias("after_nodata")
+    )
+    return known.groupBy("security_id").agg(F.collect_list(version).alias("_versions"))
+
+
+def corrected_windows(windows: DataFrame, line: Timeline, factor: str) -> DataFrame:
+    """Windows with ``status``, ``block_reason`` and ``value`` as known at their own as-of.
+
+    ``windows`` carries security_id, start_no, end_no, asof_ts and a struct ``_w`` of the timeline's own answer:
+    holes, block and nodata from the start on, product and zeros of ``factor`` (growth or adjust). The late versions
+    that hold at the as-of inside the window change that answer: the product by their quotients, and the first
+    BLOCKED or NO_DATA row to the least of theirs and of those timeline rows that follow the start or one of them
+    and that none of them replaces. The cost is the late versions, however long a window is.
+    """
+    w = {name: F.col(f"_w.{name}") for name in ("holes", "block", "nodata", "product", "zeros")}
+    if line.late is None:
+        value = F.when(w["zeros"] > 0, F.lit(0.0)).otherwise(w["product"])
+        parts = _outcome(w["holes"], w["block"], w["nodata"], F.col("end_no"), value)
+        return windows.select(*[c for c in windows.columns if c != "_w"], *parts)
+    inside = F.filter("_versions", lambda v: v["bar_no"].between(F.col("start_no"), F.col("end_no")) & (v["valid_from"] <= F.col("asof_ts")) & (v["valid_to"].isNull() | (v["valid_to"] > F.col("asof_ts"))))
+    found = windows.join(line.late, "security_id", "left").withColumn("_hits", F.coalesce(inside, F.array().cast(line.late.schema["_versions"].dataType))).drop("_versions")
+    held = found.withColumn("_held", F.filter("_hits", lambda v: v["status"].isNotNull()))
+    bars = F.transform("_held", lambda v: v["bar_no"])
+
+    def first(name: str, status: str) -> Column:
+        still = F.filter(F.concat(F.array(w[name]), F.transform("_held", lambda v: v[f"after_{name}"])), lambda x: x.isNotNull() & ~F.array_contains("_bars", x["bar_no"]))
+        theirs = F.transform(F.filter("_held", lambda v: v["status"] == status), lambda v: F.struct(v["bar_no"].alias("bar_no"), v["reason"].alias("reason")))
+        return F.array_min(F.concat(still, theirs))
+
+    merged = held.withColumn("_bars", bars).withColumns(
+        {
+            "_holes": w["holes"] + F.size(F.filter("_hits", lambda v: v["status"].isNull() & (v["bar_no"] > F.col("start_no")))),
+            "_block": first("block", BLOCKED),
+            "_nodata": first("nodata", NO_DATA),
+            "_product": F.aggregate("_held", w["product"], lambda t, v: t * v[factor]),
+            "_zeros": F.aggregate("_held", w["zeros"].cast("long"), lambda t, v: t + v[f"{factor}_zero"]),
+        }
+    )
+    value = F.when(F.col("_zeros") > 0, F.lit(0.0)).otherwise(F.col("_product"))
+    parts = _outcome(F.col("_holes"), F.col("_block"), F.col("_nodata"), F.col("end_no"), value)
+    return merged.select(*[c for c in windows.columns if c != "_w"], *parts)
 
 
 def versioned_timeline(bars: DataFrame, actions: DataFrame, cal: SessionCalendar) -> tuple[DataFrame, DataFrame]:
@@ -288,8 +350,8 @@ def _outcome(orphans: Column, block: Column, nodata: Column, end_no: Column, val
     return [status.alias("status"), reason.alias("block_reason"), F.when(~hole & ~blocked & ~empty, value).alias("value")]
 
 
-def lookback_windows(rows: DataFrame, lookback: int) -> DataFrame:
-    """Per bar the cumulative return over its last ``lookback`` rows (fewer at the start)."""
+def window_parts(rows: DataFrame, lookback: int) -> DataFrame:
+    """Per bar its last ``lookback`` rows (fewer at the start) as start_no, end_no and the struct ``_w`` of :func:`corrected_windows`."""
     if lookback <= 0:
         raise ValueError("lookback must be positive")
     order = Window.partitionBy("security_id").orderBy("bar_no")
@@ -299,20 +361,21 @@ def lookback_windows(rows: DataFrame, lookback: int) -> DataFrame:
     def at_start(name: str) -> Column:
         return F.when(full, F.lag(name, lookback - 1).over(order)).otherwise(F.first(name).over(head))
 
-    prepared = rows.select(
-        "security_id",
-        "trade_date",
-        "session_idx",
-        "bar_no",
-        F.greatest(F.col("bar_no") - lookback + 1, F.lit(1)).alias("start_no"),
-        at_start("next_block").alias("_block"),
-        at_start("next_nodata").alias("_nodata"),
-        (F.col("cum_orphan") - at_start("cum_orphan")).alias("_holes"),
-        (F.col("cum_growth") / F.coalesce(F.lag("cum_growth", lookback).over(order), F.lit(1.0))).alias("_growth"),
-        (F.col("cum_zero") - F.coalesce(F.lag("cum_zero", lookback).over(order), F.lit(0))).alias("_zeros"),
-    )
-    value = F.when(F.col("_zeros") > 0, F.lit(0.0)).otherwise(F.col("_growth")) - 1.0
-    return prepared.select("security_id", "trade_date", "session_idx", "bar_no", "start_no", *_outcome(F.col("_holes"), F.col("_block"), F.col("_nodata"), F.col("bar_no"), value))
+    parts = {
+        "holes": F.col("cum_orphan") - at_start("cum_orphan"),
+        "block": at_start("next_block"),
+        "nodata": at_start("next_nodata"),
+        "product": F.col("cum_growth") / F.coalesce(F.lag("cum_growth", lookback).over(order), F.lit(1.0)),
+        "zeros": F.col("cum_zero") - F.coalesce(F.lag("cum_zero", lookback).over(order), F.lit(0)),
+    }
+    prepared = rows.select("security_id", "trade_date", "session_idx", F.greatest(F.col("bar_no") - lookback + 1, F.lit(1)).alias("start_no"), F.col("bar_no").alias("end_no"), *[c.alias(f"_{n}") for n, c in parts.items()])
+    return prepared.select("security_id", "trade_date", "session_idx", "start_no", "end_no", F.struct(*[F.col(f"_{n}").alias(n) for n in parts]).alias("_w"))
+
+
+def lookback_windows(rows: DataFrame, lookback: int) -> DataFrame:
+    """Per bar the cumulative return over its last ``lookback`` rows (fewer at the start), as the timeline has it."""
+    plain = corrected_windows(window_parts(rows, lookback), Timeline(rows, None), "growth")
+    return plain.select("security_id", "trade_date", "session_idx", F.col("end_no").alias("bar_no"), "start_no", "status", "block_reason", (F.col("value") - 1.0).alias("value"))
 
 
 def cumulative_return(bars: DataFrame, actions: DataFrame, cal: SessionCalendar, asof_ts: object, lookback: int) -> DataFrame:
@@ -320,51 +383,30 @@ def cumulative_return(bars: DataFrame, actions: DataFrame, cal: SessionCalendar,
     return lookback_windows(asof_timeline(bars, actions, cal, asof_ts), lookback).withColumnRenamed("value", "cumulative_return")
 
 
-def replay_windows(pairs: DataFrame, key: list[str], rows: DataFrame, late: DataFrame) -> DataFrame:
-    """Exact window results for the few pairs a late version touches.
+def replayed_windows(windows: DataFrame, bars: DataFrame, actions: DataFrame, cal: SessionCalendar) -> DataFrame:
+    """``windows`` (security_id, start_no, end_no, asof_ts, others) answered bar by bar, as an audit of the timeline.
 
-    ``pairs`` carries ``security_id, start_no, end_no, asof_ts``. Each pair expands to its
-    own bars, and every bar takes its latest version known at the pair's as-of.
+    Every window is spread over its own bars and every bar priced by what the window's as-of knew, for all
+    as-ofs at once: the single-as-of plan without its loop. It costs the length of every window.
     """
-    expanded = pairs.select(*key, "security_id", "start_no", "end_no", "asof_ts", F.explode(F.sequence("start_no", "end_no")).alias("bar_no"))
-    base = rows.select("security_id", "bar_no", "status", "block_reason", "adjusted_return", "adjustment", "cum_orphan", F.lag("cum_orphan", 1, 0).over(Window.partitionBy("security_id").orderBy("bar_no")).alias("_before"))
-    joined = expanded.join(base, ["security_id", "bar_no"])
-    version = F.struct("valid_from", "status", "block_reason", "adjusted_return", "adjustment")
-    touched = late.select("security_id", "bar_no", version.alias("v"))
-    hit = joined.join(touched, ["security_id", "bar_no"], "left")
-    known = F.when(F.col("v.valid_from") <= F.col("asof_ts"), F.col("v"))
-    per_bar = hit.groupBy(*key, "security_id", "start_no", "end_no", "bar_no").agg(
-        F.first(F.struct("status", "block_reason", "adjusted_return", "adjustment")).alias("base"),
-        F.max(F.when(known["status"].isNotNull(), known)).alias("late"),
-        F.max(F.when(known.isNotNull() & known["status"].isNull(), F.lit(1)).otherwise(F.lit(0))).alias("late_hole"),
-        F.max(F.col("cum_orphan") - F.col("_before")).alias("hole"),
-    )
-    # One struct decides, so a late version's null return never mixes with the base.
-    chosen = F.when(F.col("late").isNotNull(), F.struct(F.col("late.status").alias("status"), F.col("late.block_reason").alias("block_reason"), F.col("late.adjusted_return").alias("adjusted_return"), F.col("late.adjustment").alias("adjustment"))).otherwise(F.col("base"))
-    bar = per_bar.withColumn("c", chosen)
-    inner_hole = (F.col("bar_no") > F.col("start_no")) & ((F.col("hole") > 0) | (F.col("late_hole") > 0))
-    here = F.struct(F.col("bar_no").alias("bar_no"), F.col("c.block_reason").alias("reason"))
-    ok = F.col("c.status") == OK
-    folded = bar.groupBy(*key, "security_id", "start_no", "end_no").agg(
-        F.sum(F.when(inner_hole, 1).otherwise(0)).alias("_holes"),
-        F.min(F.when(F.col("c.status") == BLOCKED, here)).alias("_block"),
-        F.min(F.when(F.col("c.status") == NO_DATA, here)).alias("_nodata"),
-        F.product(F.when(ok, F.col("c.adjusted_return").cast("double") + 1.0).otherwise(1.0)).alias("_growth"),
-        F.product(F.when(ok, F.col("c.adjustment")).otherwise(1.0)).alias("_adjust"),
-    )
-    parts = _outcome(F.col("_holes"), F.col("_block"), F.col("_nodata"), F.col("end_no"), F.col("_growth"))
-    return folded.select(*key, "security_id", *parts[:2], F.col("_growth").alias("growth"), F.col("_adjust").alias("adjust"))
-
-
-def touched_pairs(pairs: DataFrame, late: DataFrame) -> DataFrame:
-    """Pairs whose window holds a version that landed by the pair's as-of."""
-    return pairs.alias("p").join(
-        late.select("security_id", F.col("bar_no").alias("_bar"), "valid_from").alias("l"),
-        (F.col("p.security_id") == F.col("l.security_id"))
-        & F.col("l._bar").between(F.col("p.start_no"), F.col("p.end_no"))
-        & (F.col("l.valid_from") <= F.col("p.asof_ts")),
-        "left_semi",
+    rows = stage(_bar_rows(bars, cal), "bar-rows")
+    each = windows.withColumn("bar_no", F.explode(F.sequence("start_no", "end_no"))).join(rows.withColumnRenamed("open", "_open") if "open" in rows.columns else rows, ["security_id", "bar_no"])
+    met = each.select("security_id", F.col("trade_date").alias("ex_date"), "asof_ts").distinct().join(actions, ["security_id", "ex_date"]).where(F.col("available_at") <= F.col("asof_ts"))
+    key = ("security_id", "ex_date", "asof_ts")
+    inputs = pricing_inputs(latest_revision(met, (*key, "action_type")), key=key).withColumnRenamed("ex_date", "trade_date")
+    priced = _priced(each.join(inputs, ["security_id", "trade_date", "asof_ts"], "left"))
+    here = F.struct("bar_no", F.col("block_reason").alias("reason"))
+    ok = F.col("status") == OK
+    folded = priced.groupBy(*windows.columns).agg(
+        F.min(F.when(F.col("status") == BLOCKED, here)).alias("_block"),
+        F.min(F.when(F.col("status") == NO_DATA, here)).alias("_nodata"),
+        F.product(F.when(ok, F.col("adjusted_return").cast("double") + 1.0).otherwise(1.0)).alias("_product"),
     )
+    holes = _orphan_targets(rows, orphan_ex_dates(actions, bars)).select("security_id", F.col("bar_no").alias("_at"), "known_from")
+    holed = windows.join(holes, "security_id").where((F.col("_at") > F.col("start_no")) & (F.col("_at") <= F.col("end_no")) & (F.col("known_from") <= F.col("asof_ts"))).groupBy(*windows.columns).agg(F.count("*").alias("_holes"))
+    both = folded.join(holed, windows.columns, "left")
+    parts = _outcome(F.col("_holes"), F.col("_block"), F.col("_nodata"), F.col("end_no"), F.col("_product"))
+    return both.select(*windows.columns, *parts)
 
 
 def open_to_open_return(pairs: DataFrame, line: Timeline, cal: SessionCalendar) -> DataFrame:
@@ -373,7 +415,6 @@ def open_to_open_return(pairs: DataFrame, line: Timeline, cal: SessionCalendar)
     ``exit_open / (entry_open * product(reference / previous close)) - 1`` over the bars
     after the entry up to the exit. Opens need normal trading on their date.
     """
-    keys = ["security_id", "entry_date", "exit_date", "asof_ts"]
     rows = line.rows
     checked = pairs.withColumn(
         "exit_date", F.when(F.col("exit_date") <= F.col("entry_date"), F.raise_error(F.lit("exit must be after entry"))).otherwise(F.col("exit_date"))
@@ -400,34 +441,24 @@ def open_to_open_return(pairs: DataFrame, line: Timeline, cal: SessionCalendar)
     joined = located.join(edge.select("security_id", F.col("trade_date").alias("entry_date"), F.col("e").alias("a")), ["security_id", "entry_date"], "left").join(
         edge.select("security_id", F.col("trade_date").alias("exit_date"), F.col("e").alias("b")), ["security_id", "exit_date"], "left"
     )
-    zeros = F.col("b.cum_adjust_zero") - F.col("a.cum_adjust_zero")
-    adjust = F.when(zeros > 0, F.lit(0.0)).otherwise(F.col("b.cum_adjust") / F.col("a.cum_adjust"))
-    status, reason, value = _outcome(F.col("b.cum_orphan") - F.col("a.cum_orphan_next"), F.col("a.block_after"), F.col("a.nodata_after"), F.col("b.bar_no"), adjust)
-    result = joined.select(
+    parts = F.struct(
+        (F.col("b.cum_orphan") - F.col("a.cum_orphan_next")).alias("holes"),
+        F.col("a.block_after").alias("block"),
+        F.col("a.nodata_after").alias("nodata"),
+        (F.col("b.cum_adjust") / F.col("a.cum_adjust")).alias("product"),
+        (F.col("b.cum_adjust_zero") - F.col("a.cum_adjust_zero")).alias("zeros"),
+    )
+    met = joined.select(
         *pairs.columns,
-        F.col("_em").alias("_em"),
-        F.col("_xm").alias("_xm"),
+        F.col("_em"),
+        F.col("_xm"),
         F.col("a.open").alias("_eo"),
         F.col("b.open").alias("_xo"),
         (F.col("a.bar_no") + 1).alias("start_no"),
         F.col("b.bar_no").alias("end_no"),
-        status.alias("_status"),
-        reason.alias("_reason"),
-        value.alias("_adjust"),
+        parts.alias("_w"),
     )
-    if line.late is not None:
-        candidates = result.where(F.col("_em") & F.col("_xm") & F.col("_eo").isNotNull() & F.col("_xo").isNotNull()).select(*keys, "start_no", "end_no")
-        replayed = line.replay(candidates.distinct(), ["entry_date", "exit_date", "asof_ts"])
-        redo = replayed.select(*keys, F.struct("status", "block_reason", "adjust").alias("_redo"))
-        result = result.join(redo, keys, "left")
-        redone = F.col("_redo").isNotNull()
-        result = result.withColumns(
-            {
-                "_status": F.when(redone, F.col("_redo.status")).otherwise(F.col("_status")),
-                "_reason": F.when(redone, F.col("_redo.block_reason")).otherwise(F.col("_reason")),
-                "_adjust": F.when(redone, F.col("_redo.adjust")).otherwise(F.col("_adjust")),
-            }
-        ).drop("_redo")
+    result = corrected_windows(met, line, "adjust").withColumnsRenamed({"status": "_status", "block_reason": "_reason", "value": "_adjust"})
     early = (
         F.when(~F.col("_em"), F.struct(F.lit(BLOCKED).alias("s"), F.lit("ENTRY_OPEN_DATE_NOT_TRADING_DAY").alias("r")))
         .when(~F.col("_xm"), F.struct(F.lit(BLOCKED).alias("s"), F.lit("EXIT_OPEN_DATE_NOT_TRADING_DAY").alias("r")))

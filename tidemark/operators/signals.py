@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.contracts import BLOCKED, EVIDENCE_TAINTED, NO_DATA, OK, ContractViolation, enforce
 from tidemark.functions.scalars import market_close_ts
 from tidemark.operators.calendar import SessionCalendar
-from tidemark.operators.returns import NO_BARS, Timeline, asof_timeline, lookback_windows, prepare_timeline
+from tidemark.operators.returns import NO_BARS, Timeline, asof_timeline, corrected_windows, prepare_timeline, window_parts
 from tidemark.staging import stage
 
 LOOKBACK = 231
@@ -80,8 +80,8 @@ def momentum_signal(
     """Signal points ``(signal_date, security_id)`` with status, score, rank and reason.
 
     The as-of of a signal date is its 15:00 close, for prices and corporate actions
-    alike. The bulk reads precomputed windows; pairs touched by an action that landed
-    after its ex-date are replayed with the version known at their as-of. With
+    alike. All points read precomputed windows; those touched by an action that landed
+    after its ex-date are corrected by the version known at their as-of. With
     ``derivation_asof`` all returns are derived as known at that one stamp instead, while
     score dates still follow each signal date.
     """
@@ -92,29 +92,15 @@ def momentum_signal(
         line = Timeline(stage(asof_timeline(universe, actions, cal, derivation_asof), "timeline"), None)
     if line is None:
         line = prepare_timeline(bars, actions, cal, ids)
-    windows = lookback_windows(line.rows, lookback)
-    order = Window.partitionBy("security_id").orderBy("bar_no")
+    windows = window_parts(line.rows, lookback)
+    order = Window.partitionBy("security_id").orderBy("end_no")
     until = F.coalesce(F.lead("session_idx").over(order) - 1, F.lit(cal.size - 1))
     spread = windows.withColumn("_until", until).where(F.col("_until") >= F.col("session_idx"))
     scores = score_dates(line.rows, cal, signal_dates, skip, score_basis)
     held = spread.withColumn("score_idx", F.explode(F.sequence("session_idx", "_until"))).drop("session_idx", "_until")
-    scored = held.join(F.broadcast(scores), "score_idx").select(
-        "security_id", "signal_date", "start_no", F.col("bar_no").alias("end_no"), "status", "block_reason", "value", market_close_ts("signal_date").alias("asof_ts")
-    )
-    redone = line.replay(scored.select("security_id", "signal_date", "start_no", "end_no", "asof_ts"), ["signal_date"])
-    if redone is None:
-        outcome = scored.select("security_id", "signal_date", "status", F.col("block_reason").alias("reason"), F.col("value").alias("momentum_score"))
-    else:
-        fresh = F.struct("status", "block_reason", F.when(F.col("status") == OK, F.col("growth") - 1.0).alias("value")).alias("_redo")
-        merged = scored.join(redone.select("security_id", "signal_date", fresh), ["security_id", "signal_date"], "left")
-        redo = F.col("_redo").isNotNull()
-        outcome = merged.select(
-            "security_id",
-            "signal_date",
-            F.when(redo, F.col("_redo.status")).otherwise(F.col("status")).alias("status"),
-            F.when(redo, F.col("_redo.block_reason")).otherwise(F.col("block_reason")).alias("reason"),
-            F.when(redo, F.col("_redo.value")).otherwise(F.col("value")).alias("momentum_score"),
-        )
+    scored = held.join(F.broadcast(scores), "score_idx").select("security_id", "signal_date", "start_no", "end_no", market_close_ts("signal_date").alias("asof_ts"), "_w")
+    known = corrected_windows(scored, line, "growth")
+    outcome = known.select("security_id", "signal_date", "status", F.col("block_reason").alias("reason"), (F.col("value") - 1.0).alias("momentum_score"))
     grid = id_date_grid(ids, cal, signal_dates).join(F.broadcast(scores.select("signal_date", "score_date")), "signal_date")
     points = grid.join(outcome, ["security_id", "signal_date"], "left")
     status = F.when(F.col("score_date").isNull(), F.raise_error(F.lit("not enough visible trading days to skip the recent window"))).otherwise(F.coalesce("status", F.lit(NO_DATA)))

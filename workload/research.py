@@ -7,7 +7,6 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.contracts import union_all
 from tidemark.functions.scalars import market_close_ts
 from tidemark.operators import evaluation as ev
 from tidemark.operators import labels as lab
@@ -528,20 +527,21 @@ def _(t):
 
 @case(
     "q20_equivalent_paths",
-    "security_id:s signal_date:d only_in:s",
-    "select security_id, trade_date as signal_date, '' as only_in from bars where trade_date < date '1990-01-01'",
-    ("bars",),
+    "status:s compared:i different:i",
+    "select status, count(*) as compared, 0 as different from points group by 1",
+    BASE,
+    SIGNAL_STEPS,
 )
 def _(t):
-    """The many-as-of plan and single-as-of plans agree on the scores of dates over the whole calendar."""
-    places = range(FIRST + 10, len(t.cal.dates), 60)
-    days = [t.cal.dates[i] for i in places]
-    many = _signal(t).where(F.col("signal_date").isin(days)).select("security_id", "signal_date", "status", F.round("momentum_score", 10).alias("score"))
-    singles = []
-    for i, day in zip(places, days, strict=True):
-        one = returns.cumulative_return(t.bars, t.actions, t.cal, f"{day} 15:00:00", LOOKBACK).where(F.col("trade_date") == F.lit(t.cal.dates[i - SKIP]))
-        singles.append(one.select("security_id", F.lit(day).alias("signal_date"), "status", F.round("cumulative_return", 10).alias("score")))
-    return lineage.first_difference(many, union_all(singles), ["security_id", "signal_date"])
+    """The many-as-of plan beside every window replayed bar by bar at its own as-of, for all points of all sessions."""
+    line = t.timeline
+    own = F.col("session_idx") == F.col("score_idx")
+    scores = signals.score_dates(line.rows, t.cal, _signal_dates(t), SKIP).where("score_date is not null")
+    ends = line.rows.select("security_id", "session_idx", "bar_no").join(F.broadcast(scores), own).select("security_id", "signal_date", F.greatest(F.col("bar_no") - LOOKBACK + 1, F.lit(1)).alias("start_no"), F.col("bar_no").alias("end_no"), market_close_ts("signal_date").alias("asof_ts"))
+    replayed = returns.replayed_windows(ends, t.bars, t.actions, t.cal).select("security_id", "signal_date", F.col("status").alias("_s"), F.col("block_reason").alias("_r"), (F.col("value") - 1.0).alias("_v"))
+    both = _signal(t).join(replayed, ["security_id", "signal_date"], "full_outer")
+    same = F.col("status").eqNullSafe(F.coalesce("_s", F.lit("NO_DATA"))) & (F.col("reason").eqNullSafe(F.col("_r")) | F.col("_s").isNull()) & F.round("momentum_score", 10).eqNullSafe(F.round("_v", 10))
+    return both.groupBy("status").agg(F.count("*").alias("compared"), F.sum(F.when(same, 0).otherwise(1)).alias("different"))
 
 
 @case(
