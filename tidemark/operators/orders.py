@@ -126,8 +126,9 @@ def limit_reference(orders: DataFrame, actions: DataFrame) -> DataFrame:
     """Ex-right adjusted reference for orders with ``next_session`` and ``last_close``.
 
     Pricing inputs are built per distinct (security, decision, next session) that meets
-    an action, as visible at the decision's close. A rights issue without usable terms
-    fails the job.
+    an action, as visible at the decision's close. Orders that meet a rights issue without
+    usable terms have no reference and carry the reason in ``reference_violation``: they are
+    rejected when locked, and ``reference_violations`` lists them.
     """
     dated = orders.select("security_id", "decision_date", F.col("next_session").alias("ex_date")).where(F.col("ex_date").isNotNull()).distinct()
     met = dated.join(actions, ["security_id", "ex_date"])
@@ -144,16 +145,24 @@ def limit_reference(orders: DataFrame, actions: DataFrame) -> DataFrame:
     previous = money("last_close")
     zero = F.lit(0).cast("decimal(18,6)")
     seen = F.col("action_types").isNotNull() & F.col("last_close").isNotNull()
-    checked_cash = F.when(F.col("input_reason").isNotNull(), F.raise_error(F.col("input_reason"))).otherwise(F.coalesce(F.col("cash"), zero))
-    terms = reference_terms(F.when(seen, F.col("next_session")), previous, checked_cash, F.coalesce("split_ratio", zero), F.coalesce("rights_ratio", zero), F.coalesce("rights_consideration", zero.cast("decimal(24,12)")))
-    adjusted = F.when(seen, money(terms.price))
+    broken = seen & F.col("input_reason").isNotNull()
+    usable = seen & ~broken
+    terms = reference_terms(F.when(usable, F.col("next_session")), previous, F.coalesce("cash", zero), F.coalesce("split_ratio", zero), F.coalesce("rights_ratio", zero), F.coalesce("rights_consideration", zero.cast("decimal(24,12)")))
+    adjusted = F.when(usable, money(terms.price))
     status = (
-        F.when(seen & (adjusted != previous), "LIMIT_REF_ADJUSTED_FOR_CA")
+        F.when(broken, "LIMIT_REF_INPUT_VIOLATION")
+        .when(seen & (adjusted != previous), "LIMIT_REF_ADJUSTED_FOR_CA")
         .when(~seen & F.col("_later").isNotNull() & F.col("last_close").isNotNull(), "LIMIT_REF_UNADJUSTED_CA_INVISIBLE")
         .otherwise("NONE")
     )
     drop = ("cash", "split_ratio", "rights_ratio", "rights_consideration", "rights_price", "action_types", "input_reason", "_later")
-    return joined.withColumns({"reference_price": F.coalesce(adjusted, previous), "limit_reference_status": status}).drop(*drop)
+    reference = F.when(~broken, F.coalesce(adjusted, previous))
+    return joined.withColumns({"reference_price": reference, "limit_reference_status": status, "reference_violation": F.when(broken, F.col("input_reason"))}).drop(*drop)
+
+
+def reference_violations(orders: DataFrame) -> DataFrame:
+    """Orders of ``limit_reference`` (or locked ones) whose reference price cannot be formed, with the reason."""
+    return violation(orders, F.col("reference_violation").isNotNull(), "LIMIT_REFERENCE_INPUT", ["portfolio_id", "decision_date", "security_id", "side"], F.col("reference_violation"))
 
 
 def price_limits(orders: DataFrame, master: DataFrame, cal: SessionCalendar, rules: LimitRules = LimitRules(), master_day: str = "decision_date") -> DataFrame:
@@ -165,8 +174,10 @@ def price_limits(orders: DataFrame, master: DataFrame, cal: SessionCalendar, rul
     asymmetric = (policy == "FIRST_DAY_ASYMMETRIC") & (nth == 1) & F.col("_rule.first_up").isNotNull() & F.col("_rule.first_down").isNotNull()
     daily_up, daily_down = limit_prices("reference_price", F.col("_rule.daily_rate"))
     first_up, first_down = limit_prices("reference_price", F.col("_rule.first_up"), F.col("_rule.first_down"))
+    broken = F.col("reference_violation").isNotNull() if "reference_violation" in orders.columns else F.lit(False)
     check = (
-        F.when(F.col("reference_price").isNull(), "SKIPPED_NO_PREV_CLOSE")
+        F.when(broken, "SKIPPED_CA_INPUT")
+        .when(F.col("reference_price").isNull(), "SKIPPED_NO_PREV_CLOSE")
         .when(F.col("board").isNull() | F.col("list_date").isNull(), "SKIPPED_NO_MASTER")
         .when(F.col("_rule").isNull(), "SKIPPED_NO_RULE")
         .when(F.coalesce(exempt, F.lit(False)), "EXEMPT_NEW_LISTING")
@@ -213,6 +224,7 @@ def lock_orders(
     reason = (
         F.when(F.col("next_session").isNull(), "NO_NEXT_SESSION")
         .when(F.col("lot_reason").isNotNull(), F.col("lot_reason"))
+        .when(F.col("reference_violation").isNotNull(), "CA_INPUT_VIOLATION")
         .when(evaluated & cap.isNull(), "CAPACITY_NO_ADV_DATA")
         .when(capped <= 0, "CAPACITY_REJECTED")
     )

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.contracts import require_columns
+from tidemark.contracts import union_all
 from tidemark.functions import scalars as sc
 from tidemark.operators import calendar as calops
 from tidemark.operators import evaluation as ev
@@ -441,19 +441,32 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@case(
-    "s11_write_run_tables",
-    "portfolio_id:i security_id:s decision_date:d side:s net_amount:s total_fee:s",
-    """select portfolio_id, security_id, decision_date, side, cast(cast(case when side = 'sell' then gross - fee else gross + fee end as decimal(18,2)) as varchar) as net_amount, cast(cast(fee as decimal(18,2)) as varchar) as total_fee from outcome""",
-    trading.BASE,
-    trading.FILL_STEPS,
-)
+# The four tables of one run: what was locked and admitted, its outcomes, its ledger and its NAV.
+MONEY_TEXT = "cast(cast({0} as decimal(18,2)) as varchar)"
+RUN_TABLES = f"""
+select 'orders' as tab, portfolio_id, security_id, decision_date as day, side as what, locked_quantity as quantity, {MONEY_TEXT.format('reserved_cash')} as money from admitted
+union all select 'fills', portfolio_id, security_id, decision_date, concat(side, '/', reason), case when status = 'FILLED' then locked_quantity else 0 end, {MONEY_TEXT.format("case when side = 'sell' then gross - fee else gross + fee end")} from outcome
+union all select 'ledger', portfolio_id, security_id, trade_date, concat(event_id, '/', event_type), quantity_delta, {MONEY_TEXT.format('cash_after')} from chained
+union all select 'nav', portfolio_id, '', trade_date, '', event_count, {MONEY_TEXT.format('nav')} from navq"""
+
+
+@case("s11_write_run_tables", "tab:s portfolio_id:i security_id:s day:d what:s quantity:i money:s", RUN_TABLES, trading.BASE, (*trading.CHAIN_STEPS, ("navq", trading.CHAIN_NAV)))
 def _(t):
+    """Written and read back: orders, fills, ledger and NAV of the chained run, money as decimal text."""
     path = _scratch(t, "s11")
-    writers.write_run_tables({"orders": trading._admitted(t), "fills": trading._fills(t), "ledger": trading._entries(t), "nav": trading._nav(t)}, path)
-    for name in ("orders", "ledger", "nav"):
-        require_columns(t.spark.read.parquet(f"{path}/{name}"), ["portfolio_id"], name)
-    return t.spark.read.parquet(f"{path}/fills")
+    writers.write_run_tables({"orders": trading._admitted(t), "fills": trading._fills(t), "ledger": trading._chain_entries(t), "nav": trading._chain_nav(t)}, path)
+    back = {name: t.spark.read.parquet(f"{path}/{name}") for name in ("orders", "fills", "ledger", "nav")}
+
+    def rows(name, day, what, quantity, money, security="security_id"):
+        return back[name].select(F.lit(name).alias("tab"), "portfolio_id", (F.col(security) if security else F.lit("")).alias("security_id"), F.col(day).alias("day"), what.alias("what"), F.col(quantity).alias("quantity"), F.col(money).alias("money"))
+
+    parts = [
+        rows("orders", "decision_date", F.col("side"), "locked_quantity", "reserved_cash"),
+        rows("fills", "decision_date", F.concat_ws("/", "side", "reason"), "filled_quantity", "net_amount"),
+        rows("ledger", "trade_date", F.concat_ws("/", F.col("event_id").cast("string"), "event_type"), "quantity_delta", "cash_after"),
+        rows("nav", "trade_date", F.lit(""), "event_count", "nav", None),
+    ]
+    return union_all(parts)
 
 
 # -- Q: quality ------------------------------------------------------------------------------

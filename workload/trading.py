@@ -23,12 +23,8 @@ def _intents(t):
     return t.landed("order_intents", lambda: t.intents.withColumn("intent_seq", F.row_number().over(order)))
 
 
-def _priced_actions(t):
-    return t.actions.where("action_type <> 'RIGHTS_ISSUE' or rights_price_per_share is not null")
-
-
 def _build_locked(t):
-    return ords.lock_orders(_intents(t), t.bars, _priced_actions(t), t.master, t.cal)
+    return ords.lock_orders(_intents(t), t.bars, t.actions, t.master, t.cal)
 
 
 def _locked(t):
@@ -97,7 +93,7 @@ ADV2 = "select *, cast(round(adv0, 2) as decimal(18,2)) as adv, cast(round(cast(
 REFERENCE = """
 select d.security_id, d.decision_date, max(case when v.available_at <= d.decision_date + interval 15 hours then 1 else 0 end) as seen, 1 as later
 from (select distinct security_id, decision_date, next_session from orders0 where next_session is not null) d
-join priced v on v.security_id = d.security_id and v.ex_date = d.next_session and v.available_at <= d.next_session + interval 15 hours group by 1, 2"""
+join actions v on v.security_id = d.security_id and v.ex_date = d.next_session and v.available_at <= d.next_session + interval 15 hours group by 1, 2"""
 
 REF_INPUT = """
 select security_id, decision_date,
@@ -105,22 +101,24 @@ select security_id, decision_date,
     then cast(sum(case when action_type in ('CASH_DIVIDEND','STOCK_DIVIDEND') then coalesce(ex_right_cash_deduction_per_share, cash_dividend_per_share) else 0 end) as decimal(18,6))
     else cast(round(sum(case when action_type in ('CASH_DIVIDEND','STOCK_DIVIDEND') then cash_dividend_per_share else 0 end), 2) as decimal(18,6)) end as cash,
   1 + sum(case when action_type in ('CASH_DIVIDEND','STOCK_DIVIDEND','RIGHTS_ISSUE') then share_ratio else 0 end) as den,
-  sum(case when action_type = 'RIGHTS_ISSUE' then share_ratio * rights_price_per_share else 0 end) as paid
+  sum(case when action_type = 'RIGHTS_ISSUE' then share_ratio * coalesce(rights_price_per_share, 0) else 0 end) as paid,
+  max(case when action_type = 'RIGHTS_ISSUE' and share_ratio > 0 and rights_price_per_share is null then 1 else 0 end) as bad
 from (select d.security_id, d.decision_date, v.action_type, v.cash_dividend_per_share, v.share_ratio, v.rights_price_per_share, v.ex_right_cash_deduction_per_share,
         row_number() over (partition by d.security_id, d.decision_date, v.action_type order by v.available_at desc) as rn
       from (select distinct security_id, decision_date, next_session from orders0 where next_session is not null) d
-      join priced v on v.security_id = d.security_id and v.ex_date = d.next_session and v.available_at <= d.decision_date + interval 15 hours) where rn = 1 group by 1, 2"""
+      join actions v on v.security_id = d.security_id and v.ex_date = d.next_session and v.available_at <= d.decision_date + interval 15 hours) where rn = 1 group by 1, 2"""
 
 REFERENCED = """
 select o.*, a.adv, a.cap, a.n as adv_days, a.last_close,
-  case when a.last_close is null then null when r.seen = 1 then cast((200 * cast((a.last_close - i.cash + i.paid) * 1000000 as hugeint) + cast(i.den * 1000000 as hugeint)) // (2 * cast(i.den * 1000000 as hugeint)) as decimal(18,2)) / 100
+  coalesce(i.bad, 0) = 1 and a.last_close is not null as bad,
+  case when a.last_close is null or i.bad = 1 then null when r.seen = 1 then cast((200 * cast((a.last_close - i.cash + i.paid) * 1000000 as hugeint) + cast(i.den * 1000000 as hugeint)) // (2 * cast(i.den * 1000000 as hugeint)) as decimal(18,2)) / 100
     else a.last_close end as ref0, r.seen, r.later
 from orders0 o left join adv_b a on a.security_id = o.security_id and a.session_idx = o.session_idx
 left join refs r on r.security_id = o.security_id and r.decision_date = o.decision_date
 left join refin i on i.security_id = o.security_id and i.decision_date = o.decision_date"""
 
 LIMITED = """
-select x.*, case when ref is null then 'SKIPPED_NO_PREV_CLOSE' when board is null then 'SKIPPED_NO_MASTER' when rate is null then 'SKIPPED_NO_RULE'
+select x.*, case when bad then 'SKIPPED_CA_INPUT' when ref is null then 'SKIPPED_NO_PREV_CLOSE' when board is null then 'SKIPPED_NO_MASTER' when rate is null then 'SKIPPED_NO_RULE'
     when (policy = 'F5' and nth <= 5) or (policy = 'F1' and nth = 1) then 'EXEMPT_NEW_LISTING' else 'APPLIED' end as limit_check0,
   cast(round(ref * (1 + case when policy = 'FA' and nth = 1 then 0.44 else rate end), 2) as decimal(18,2)) as up,
   cast(round(ref * (1 - case when policy = 'FA' and nth = 1 then 0.36 else rate end), 2) as decimal(18,2)) as down
@@ -141,13 +139,12 @@ LOCKED = f"""
 select y.*, case when ok and side = 'buy' and locked_quantity > 0 and price is not null then cast(round(price * locked_quantity, 2) as decimal(18,2)) + {_fee("cast(round(price * locked_quantity, 2) as decimal(18,2))", "'buy'", "next_session")} else 0 end as reserved_cash
 from (select z.*, reject_reason is null as ok, case when reject_reason is null then least(lots, coalesce(capped, lots)) else 0 end as locked_quantity,
     coalesce(case when limit_check0 = 'APPLIED' then up end, ref) as price
-  from (select v.*, case when next_session is null then 'NO_NEXT_SESSION' when lots is null then 'ODD_LOT_REJECTED' when lots > 0 and ref is not null and cap is null then 'CAPACITY_NO_ADV_DATA' when capped <= 0 then 'CAPACITY_REJECTED' end as reject_reason
+  from (select v.*, case when next_session is null then 'NO_NEXT_SESSION' when lots is null then 'ODD_LOT_REJECTED' when bad then 'CA_INPUT_VIOLATION' when lots > 0 and ref is not null and cap is null then 'CAPACITY_NO_ADV_DATA' when capped <= 0 then 'CAPACITY_REJECTED' end as reject_reason
     from (select l.*, case when side <> 'buy' then quantity when quantity // 100 > 0 then quantity // 100 * 100 end as lots,
         case when ref is not null and cap is not null and round(ref * (case when side <> 'buy' then quantity else quantity // 100 * 100 end), 2) > cap and (side <> 'buy' or quantity >= 100)
           then cast(cap * 100 as bigint) // cast(ref * 100 as bigint) // 100 * 100 end as capped from limited l) v) z) y"""
 
 LOCK_STEPS = (
-    ("priced", "select * from actions where action_type <> 'RIGHTS_ISSUE' or rights_price_per_share is not null"),
     ("orders0", ORDERS),
     ("state", STATE),
     ("adv_a", ADV),
@@ -214,7 +211,7 @@ def _(t):
     """select portfolio_id, o.security_id, decision_date, side, adv as trailing_adv_notional, cap as max_order_notional, case when n >= 20 then 'ADV_FULL_WINDOW' when n > 0 then 'ADV_PARTIAL_WINDOW' end as adv_window_status
        from orders0 o join adv_b a on a.security_id = o.security_id and a.session_idx = o.session_idx""",
     BASE,
-    LOCK_STEPS[:5],
+    LOCK_STEPS[:4],
 )
 def _(t):
     return ords.capacity(_intents(t), t.bars, t.cal)
@@ -225,7 +222,7 @@ def _(t):
     "portfolio_id:i security_id:s decision_date:d side:s last_close:f2",
     "select portfolio_id, o.security_id, decision_date, side, last_close from orders0 o join adv_b a on a.security_id = o.security_id and a.session_idx = o.session_idx",
     BASE,
-    LOCK_STEPS[:5],
+    LOCK_STEPS[:4],
 )
 def _(t):
     return ords.last_close_asof(_intents(t), t.sparse, t.cal)
@@ -250,7 +247,7 @@ def _(t):
     "portfolio_id:i security_id:s decision_date:d side:s open_price:f6 trade_status:s has_bar:b",
     "select o.portfolio_id, o.security_id, o.decision_date, o.side, s.open as open_price, s.trade_status, s.security_id is not null as has_bar from orders0 o left join sparse s on s.security_id = o.security_id and s.trade_date = o.next_session",
     (*BASE, "sparse"),
-    LOCK_STEPS[:2],
+    LOCK_STEPS[:1],
 )
 def _(t):
     from tidemark.operators.calendar import next_session
@@ -272,20 +269,31 @@ def _(t):
     "e3_limit_reference",
     "portfolio_id:i security_id:s decision_date:d side:s reference_price:f2 limit_reference_status:s",
     """select portfolio_id, security_id, decision_date, side, ref as reference_price,
-       case when last_close is null then 'NONE' when seen = 1 and ref <> last_close then 'LIMIT_REF_ADJUSTED_FOR_CA' when coalesce(seen, 0) = 0 and later = 1 then 'LIMIT_REF_UNADJUSTED_CA_INVISIBLE' else 'NONE' end as limit_reference_status from limited""",
+       case when last_close is null then 'NONE' when bad then 'LIMIT_REF_INPUT_VIOLATION' when seen = 1 and ref <> last_close then 'LIMIT_REF_ADJUSTED_FOR_CA' when coalesce(seen, 0) = 0 and later = 1 then 'LIMIT_REF_UNADJUSTED_CA_INVISIBLE' else 'NONE' end as limit_reference_status from limited""",
     BASE,
-    LOCK_STEPS[:9],
+    LOCK_STEPS[:8],
 )
 def _(t):
     return _reference(t)
 
 
+@case(
+    "e3_reference_violations",
+    "check:s key:s detail:s",
+    """select 'LIMIT_REFERENCE_INPUT' as "check", concat_ws('/', portfolio_id, decision_date, security_id, side) as "key", 'RIGHTS_ISSUE missing rights_price/rights_price_per_share; cannot construct PIT factor' as detail from limited where bad""",
+    BASE,
+    LOCK_STEPS[:8],
+)
+def _(t):
+    return ords.reference_violations(_reference(t))
+
+
 def _reference(t):
     from tidemark.operators.calendar import next_session
 
     rows = next_session(_intents(t), t.cal, "decision_date")
     state = ords.market_state(t.bars, rows, t.cal).select("security_id", "decision_date", "last_close")
-    return ords.limit_reference(rows.join(state, ["security_id", "decision_date"], "left"), _priced_actions(t))
+    return ords.limit_reference(rows.join(state, ["security_id", "decision_date"], "left"), t.actions)
 
 
 @case(
@@ -293,7 +301,7 @@ def _reference(t):
     "portfolio_id:i security_id:s decision_date:d side:s limit_check:s price_cap:f2 price_floor:f2",
     """select portfolio_id, security_id, decision_date, side, limit_check0 as limit_check, case when limit_check0 = 'APPLIED' then up end as price_cap, case when limit_check0 = 'APPLIED' then down end as price_floor from limited""",
     BASE,
-    LOCK_STEPS[:9],
+    LOCK_STEPS[:8],
 )
 def _(t):
     return ords.price_limits(_reference(t), t.master, t.cal)
@@ -510,6 +518,28 @@ def _(t):
     return led.position_view(_trades(t), t.actions, t.cal, "2023-10-30")
 
 
+@case(
+    "e13_locked_positions",
+    "portfolio_id:i security_id:s total_quantity:i sellable_quantity:i locked_quantity:i unsellable_quantity:i cost_basis:f2",
+    """with l as (select portfolio_id, security_id, sum(quantity) as q from intents_src where side = 'sell' and decision_date > date '2021-05-03' and decision_date <= date '2021-06-28' group by 1, 2),
+v as (select portfolio_id, security_id, sum(quantity) as total_quantity, sum(case when lot_kind = 0 or lot_date < date '2021-06-28' then quantity else 0 end) as free, sum(cents) / 100.0 as cost_basis from remaining group by 1, 2)
+select v.portfolio_id, v.security_id, total_quantity, free - least(coalesce(q, 0), free) as sellable_quantity, least(coalesce(q, 0), free) as locked_quantity, total_quantity - free as unsellable_quantity, cost_basis from v left join l using (portfolio_id, security_id)""",
+    (*TRADE_VIEWS, "intents_src"),
+    (
+        ("trd", f"select * from ({TRADES}) x where execution_date <= date '2021-06-28'"),
+        ("lact", f"select * from ({LEDGER_ACTIONS}) x where ex_date <= date '2021-06-28'"),
+        *_entitle_steps(NET_BASE, "select distinct portfolio_id, security_id from trd")[1:],
+        *FIFO_STEPS[len(ENT_STEPS) :],
+    ),
+)
+def _(t):
+    """Sells decided in the eight weeks before the date are still open: what they lock cannot be sold again."""
+    day = F.lit("2021-06-28").cast("date")
+    open_sells = t.intents.where((F.col("side") == "sell") & (F.col("decision_date") <= day) & (F.col("decision_date") > F.date_sub(day, 56)))
+    locked = open_sells.groupBy("portfolio_id", "security_id").agg(F.sum("quantity").alias("locked_quantity"))
+    return led.position_view(_trades(t), t.actions, t.cal, "2021-06-28", locked)
+
+
 def _nav(t):
     return t.landed("nav_daily", lambda: led.daily_nav(_entries(t), t.bars, t.cal, _opening(t), _trades(t)))
 
