@@ -96,6 +96,22 @@ b as (
 select portfolio_id, {_security('k')} as security_id, execution_date, side, cast(quantity as bigint) as quantity,
   cast(cast(1000 + (cast(quantity / 100 as bigint) * 7 + portfolio_id * 13 + k * 31) % 200 as decimal(18,6))/100 as decimal(18,6)) as price
 from b where quantity > 0
+""",
+    "membership_src": f"""
+with o as (
+  select o_orderkey as ok, o_custkey as ck, cast(floor(o_custkey / 75) as bigint) as k, {WEEK.format(c='o_orderdate')} as wk from orders)
+select concat('IDX', cast(ok % 4 as {{S}})) as index_id, {_security('k')} as security_id, wk as effective_from,
+  case when ok % 5 = 0 then null else cast(ck % 40 * 7 + 7 as int) end as days, ok % 6 <> 1 as is_member,
+  cast(ck % 150 as int) - 60 as lag_days, lpad(cast(ok as {{S}}), 12, '0') as revision_id
+from o
+""",
+    "releases_src": f"""
+with o as (
+  select o_orderkey as ok, o_custkey as ck, o_totalprice as price, cast(floor(o_custkey / 75) as bigint) as k, {WEEK.format(c='o_orderdate')} as wk from orders)
+select {_security('k')} as security_id, concat('M', cast(ok % 3 as {{S}})) as metric_name, ok as filing_version,
+  cast(date_trunc('quarter', wk) as date) as quarter_start, cast(1 + (ck * 7 + ok) % 220 as int) as lag_days,
+  cast(cast(floor(price) as bigint) - 20000 as decimal(18,6)) as metric_value
+from o
 """,
     "announcements_src": f"""
 select event_id, {_security('k')} as security_id,
@@ -156,6 +172,22 @@ select security_id, ex_date, action_type, cast(cash as decimal(18,6)) as cash_di
   case when n % 3 = 2 then cast(ex_date - to_days(14) as date) end as disclosure_date,
   case when n % 3 = 1 then ex_date - to_days(3) + interval 18 hours end as disclosure_ts
 from v
+""",
+    ),
+    "membership": (
+        ("membership_src",),
+        """
+select index_id, security_id, effective_from, cast(effective_from + days as date) as effective_to, is_member,
+  cast(effective_from + lag_days as date) + interval 15 hours as available_at, revision_id
+from membership_src
+""",
+    ),
+    "releases": (
+        ("releases_src",),
+        """
+select security_id, metric_name, filing_version, metric_value, cast(quarter_start + interval 3 months - interval 1 day as date) as report_period_end,
+  cast(quarter_start + interval 3 months as date) + to_days(lag_days) + interval 15 hours as available_at
+from releases_src
 """,
     ),
     "master": (
@@ -334,6 +366,22 @@ class Tables:
     def announcements(self) -> DataFrame:
         return self.source("announcements_src")
 
+    @property
+    def membership(self) -> DataFrame:
+        return self.landed("index_membership", self._membership)
+
+    def _membership(self) -> DataFrame:
+        src = self.source("membership_src")
+        return src.select("index_id", "security_id", "effective_from", F.date_add("effective_from", F.col("days")).alias("effective_to"), "is_member", market_close_ts(F.date_add("effective_from", F.col("lag_days"))).alias("available_at"), "revision_id")
+
+    @property
+    def releases(self) -> DataFrame:
+        return self.landed("fundamental_releases", self._releases)
+
+    def _releases(self) -> DataFrame:
+        src = self.source("releases_src").withColumn("_next", F.add_months("quarter_start", 3))
+        return src.select("security_id", "metric_name", "filing_version", "metric_value", F.date_sub("_next", 1).alias("report_period_end"), market_close_ts(F.date_add("_next", F.col("lag_days"))).alias("available_at"))
+
     def dates(self, first: int, last: int, step: int = 1) -> list[dt.date]:
         """Sessions by position; negative counts from the end, like a slice."""
         return list(self.cal.dates[first:last:step])
