@@ -290,15 +290,18 @@ def repair(turns: DataFrame) -> Repaired:
     illegal = numbered.groupBy("ck").agg(F.sum(F.col("illegal") + border).alias("_illegal"))
     levels = [numbered.select("ck", "k", "element")]
     while (levels[-1].agg(F.max("k")).first()[0] or 0) > 0:
-        up = levels[-1].withColumn("up", F.shiftright("k", BLOCK_BITS))
-        levels.append(stage(up.groupBy("ck", "up").applyInArrow(group_element, "ck string, k bigint, element array<bigint>"), "level"))
+        many, alone = _grouped(levels[-1])
+        whole = many.groupBy("ck", "up").applyInArrow(group_element, "ck string, k bigint, element array<bigint>")
+        levels.append(stage(whole.unionByName(alone.select("ck", F.col("up").alias("k"), "element")), "level"))
 
     # Down: the state that a whole conversation ends in, and the crossings inside.
     ends = stage(levels[-1].select("ck", "k", "element").mapInArrow(_ends, "ck string, k bigint, entry int, leave int, cost bigint"), "ends")
     states = ends.select("ck", "k", "entry", "leave")
     for level in reversed(levels[:-1]):
-        grouped = level.withColumn("up", F.shiftright("k", BLOCK_BITS))
-        states = stage(grouped.groupBy("ck", "up").cogroup(states.withColumnRenamed("k", "up").groupBy("ck", "up")).applyInArrow(group_crossings, "ck string, k bigint, entry int, leave int"), "crossings")
+        many, alone = _grouped(level)
+        above = states.withColumnRenamed("k", "up")
+        inside = many.groupBy("ck", "up").cogroup(above.join(many.select("ck", "up").distinct(), ["ck", "up"], "left_semi").groupBy("ck", "up")).applyInArrow(group_crossings, "ck string, k bigint, entry int, leave int")
+        states = stage(inside.unionByName(alone.join(above, ["ck", "up"]).select("ck", "k", "entry", "leave")), "crossings")
     by_block = numbered.select("ck", "k", "block").join(states, ["ck", "k"]).select("ck", "block", "entry", "leave")
     edits = compact.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(block_edits, "ck string, at bigint, edits string, lead string, given string")
 
@@ -311,6 +314,12 @@ def repair(turns: DataFrame) -> Repaired:
     return Repaired(rows.unionByName(tails), summary)
 
 
+def _grouped(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of groups of several, and those alone in theirs, which take part in it as they are."""
+    counted = level.withColumn("up", F.shiftright("k", BLOCK_BITS)).withColumn("_n", F.count("*").over(Window.partitionBy("ck", "up")))
+    return counted.where("_n > 1").drop("_n"), counted.where("_n = 1").drop("_n")
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         best = [best_leave(_unpack(e)) for e in rows.column("element").to_pylist()]
