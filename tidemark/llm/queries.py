@@ -13,11 +13,11 @@ from tidemark.llm.document_fingerprints import fingerprints
 from tidemark.llm.language_id import identify
 from tidemark.llm.mixing import mix, mix_sql
 from tidemark.llm.near_dedup import near_duplicates
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import pack, sequence_costs
 from tidemark.llm.quality_rules import quality, quality_sql
 from tidemark.llm.spelling import spelling_sql, spelling_variants, vocabulary
 from tidemark.llm.substring_dedup import dedup_units, dedup_units_sql
-from tidemark.llm.token_counts import section_tokens
+from tidemark.llm.token_counts import section_tokens, with_token_lengths
 from tidemark.llm.toxicity import toxicity
 
 
@@ -57,7 +57,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    """Lengths in tokens of the byte-pair vocabulary and one end a text; a sequence costs a fixed part and attention too."""
+    counted = with_token_lengths(documents(spark, sf_dir).select("doc_id", "text"))
+    return pack(counted, length=F.col("n_tokens") + 1, costs=sequence_costs())
 
 
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

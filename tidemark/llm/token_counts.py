@@ -15,6 +15,7 @@ to its tokens exactly (``split``: but for rounding of doubles).
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,8 +91,7 @@ def section_tokens(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang",
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    with open(vocabulary, "rb") as file:
-        sent = docs.sparkSession.sparkContext.broadcast(file.read())
+    sent = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,3 +122,25 @@ def section_tokens(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang",
                 yield batch(schema, doc_id=rows.column("doc_id").take(pa.array(which)), field=names, section=number, char_start=lo, char_end=hi, n_tokens=np.concatenate(tokens), n_shared=np.concatenate(shared).astype(np.int64))
 
     return docs.select("doc_id", *[F.col(f).cast("string").alias(f) for f in fields]).mapInArrow(run, f"doc_id {kind}, field string, section bigint, char_start bigint, char_end bigint, n_tokens double, n_shared bigint")
+
+
+def with_token_lengths(docs: DataFrame, text: str = "text", out: str = "n_tokens", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """``docs`` with the number of tokens of a text column (null: none), encoded whole; other columns go through as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(sent.value, pattern)
+        for rows in batches:
+            counts = [len(encoder.encoding.encode_ordinary(value.as_py() or "")) for value in rows.column(text)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(counts, pa.int64())], names=[*rows.schema.names, out])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, `{out}` bigint")
+
+
+def _vocabulary(path: str) -> bytes:
+    """Read once on the driver and sent along; the path is the driver's own."""
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary at {path} on the driver; pass its path as vocabulary=")
+    with open(path, "rb") as file:
+        return file.read()
