@@ -302,6 +302,35 @@ def test_packing_is_best_fit_and_whole(docs, nothing):
     assert packing.pack(nothing).collect() == []
 
 
+def test_packing_keeps_ids_windows_and_repeated_rows_whole(spark):
+    wide = [(2**53 + 1,), (2**53 + 3,), (None,), (-(2**62) - 1,), (None,)]
+    table = spark.createDataFrame([(k, f"w{i}") for i, (k,) in enumerate(wide)], "doc_id bigint, text string")
+    key = lambda k: (k is None, k or 0)
+    assert sorted((r.doc_id for r in packing.pack(table).collect()), key=key) == sorted((k for (k,) in wide), key=key)
+    named = spark.createDataFrame([("a", "x"), (None, "y")], "doc_id string, text string")
+    assert {r.doc_id for r in packing.pack(named).collect()} == {"a", None}
+    far = spark.createDataFrame([(i, "x", w) for i, w in enumerate((0, 1 << 22, 1 << 40, None, 3))], "doc_id bigint, text string, w bigint")
+    got = packing.pack(far, window=far["w"]).collect()
+    assert {(r.doc_id, r.window) for r in got} == {(i, w) for i, w in enumerate((0, 1 << 22, 1 << 40, None, 3))} and len({r.bin_id for r in got}) == 5
+    # Copies of one row, far beyond a shard, are dealt over many.
+    same = spark.range(200_000).selectExpr("7L as doc_id", "'same words' as text", "id", "null as bin", "0 as window")
+    packed = packing.pack(same, shard_tokens=10_000, capacities=(64, 128))
+    sizes = [r["count"] for r in packed.groupBy("shard").count().collect()]
+    assert sum(sizes) == 200_000 and len(sizes) == 60 and max(sizes) < 2 * 200_000 / 60
+    zero = spark.createDataFrame([(1, "a", 0), (2, "b", None), (3, "c", 5)], "doc_id bigint, text string, n int")
+    assert [r.doc_id for r in packing.pack(zero, length=zero["n"]).collect()] == [3]
+
+
+def test_costs_decide_which_length_opens(spark):
+    costs = packing.sequence_costs()
+    rates = sorted(zip((512, 1024, 2048, 4096), costs), key=lambda c: c[1] / c[0])
+    assert [c for c, _ in rates] == [2048, 1024, 4096, 512]
+    table = spark.createDataFrame([(i, "x", 100) for i in range(60)], "doc_id bigint, text string, n int")
+    sizes = lambda df: sorted({(r.bin_id, r.used, r.capacity) for r in df.collect()}, key=lambda r: r[1:])
+    assert [r[1:] for r in sizes(packing.pack(table, length=table["n"], costs=costs))] == [(2000, 2048)] * 3
+    assert [r[1:] for r in sizes(packing.pack(table, length=table["n"]))] == [(2000, 2048), (4000, 4096)]  # in proportion: the longest opens
+
+
 def plain_best_fit(lengths, capacities, costs):
     bins = []
     where = []
@@ -407,8 +436,7 @@ def test_mixing_stage_keeps_every_document_in_slot_order(spark):
     for r in windows:
         bins[r.bin_id].add(None if r.doc_id is None else r.doc_id % 3)
     assert all(len(v) == 1 for v in bins.values()) and collections.Counter(r.doc_id for r in windows) == collections.Counter(r[0] for r in made)
-    seen = [next(iter(bins[k])) for k in sorted(bins)]
-    assert seen == sorted(seen, key=lambda x: (x is None, x))
+    assert all(r.window == (None if r.doc_id is None else r.doc_id % 3) for r in windows)
 
 
 def test_near_dedup_stage_keeps_rows_of_one_id_apart(spark):
