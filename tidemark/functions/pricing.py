@@ -110,7 +110,7 @@ def reference_price(day: Column | str, previous_close: Column, cash: Column, spl
 class FeeSchedule:
     """Commission is a broker setting; stamp duty and transfer fee follow dated rules."""
 
-    commission_rate: Decimal = Decimal("0.00025")
+    commission_rate: Decimal | Column = Decimal("0.00025")
     commission_minimum: Decimal = Decimal("5.00")
     stamp_duty_rates: tuple[tuple[dt.date, Decimal], ...] = (
         (dt.date(2008, 9, 19), Decimal("0.001")),
@@ -122,7 +122,7 @@ class FeeSchedule:
     )
 
     def __post_init__(self) -> None:
-        if self.commission_rate <= 0:
+        if not isinstance(self.commission_rate, Column) and self.commission_rate <= 0:
             raise ContractViolation("commission rate must be positive")
         if self.commission_minimum < 0:
             raise ContractViolation("commission minimum cannot be negative")

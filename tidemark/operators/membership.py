@@ -12,7 +12,6 @@ however long a membership lasts. No window is longer than a bucket has days.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.contracts import require_columns, union_all, violation
 from tidemark.functions.scalars import timestamp_literal
 from tidemark.operators.asof import asof_join
+from tidemark.operators.intervals import bucket_start, day_bucket, pieces
 from tidemark.staging import stage
 
 MEMBERSHIP_COLUMNS = ("index_id", "security_id", "effective_from", "effective_to", "available_at", "revision_id")
@@ -31,16 +31,6 @@ def _member(rows: DataFrame) -> Column:
     return F.coalesce(F.col("is_member"), F.lit(True)) if "is_member" in rows.columns else F.lit(True)
 
 
-def _bucket(day: Column, width: int) -> Column:
-    return F.floor(F.datediff(day, F.lit(dt.date(1990, 1, 1))) / F.lit(width)).cast("int")
-
-
-def _pieces(rows: DataFrame, lo: Column, stop: Column, width: int) -> DataFrame:
-    """Rows once per bucket that [lo, stop) touches; empty intervals have none."""
-    held = rows.withColumns({"_lo": lo, "_stop": stop}).where("_lo < _stop")
-    return held.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("_lo"), width), _bucket(F.date_sub("_stop", 1), width))))
-
-
 def membership_violations(rows: DataFrame, bucket_days: int = BUCKET_DAYS) -> DataFrame:
     """Rows without key or stamps, empty intervals, and equally old rows that contradict each other on a day."""
     require_columns(rows, MEMBERSHIP_COLUMNS, "index_membership_pit")
@@ -54,11 +44,11 @@ def membership_violations(rows: DataFrame, bucket_days: int = BUCKET_DAYS) -> Da
     latest = flagged.agg(F.max(F.greatest("effective_from", F.coalesce("effective_to", "effective_from")))).first()[0]
     if latest is None:
         return union_all(checks)
-    pieces = _pieces(flagged, F.col("effective_from"), F.coalesce(F.col("effective_to"), F.date_add(F.lit(latest), 1)), bucket_days)
+    cut = pieces(flagged, F.col("effective_from"), F.coalesce(F.col("effective_to"), F.date_add(F.lit(latest), 1)), bucket_days)
     same = ["index_id", "security_id", "available_at", "revision_id", "_bucket"]
-    yes, no = (pieces.where(c).select(*same, F.col("_lo").alias(f"_{n}_lo"), F.col("_stop").alias(f"_{n}_stop")) for n, c in (("yes", "_is"), ("no", "not _is")))
+    yes, no = (cut.where(c).select(*same, F.col("_lo").alias(f"_{n}_lo"), F.col("_stop").alias(f"_{n}_stop")) for n, c in (("yes", "_is"), ("no", "not _is")))
     first = F.greatest("_yes_lo", "_no_lo")
-    clash = yes.join(no, same).where((first < F.least("_yes_stop", "_no_stop")) & (_bucket(first, bucket_days) == F.col("_bucket")))
+    clash = yes.join(no, same).where((first < F.least("_yes_stop", "_no_stop")) & (day_bucket(first, bucket_days) == F.col("_bucket")))
     checks.append(violation(clash.withColumn("effective_from", first), F.lit(True), "CONTRADICTORY_MEMBERSHIP", key, F.col("available_at")))
     return union_all(checks)
 
@@ -74,9 +64,9 @@ def members_at(rows: DataFrame, asks: DataFrame, bucket_days: int = BUCKET_DAYS)
     span = asks.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
     lo, stop = F.lit(span["lo"]).cast("date"), F.date_add(F.lit(span["hi"]).cast("date"), 1)
     held = rows.withColumn("_is", _member(rows)).select(*MEMBERSHIP_COLUMNS, "_is")
-    pieces = _pieces(held, F.greatest("effective_from", lo), F.least(F.coalesce("effective_to", stop), stop), bucket_days)
-    asked = asks.withColumn("_bucket", _bucket(F.col("date"), bucket_days))
-    hit = asked.join(pieces, ["index_id", "_bucket"]).where((F.col("_lo") <= F.col("date")) & (F.col("date") < F.col("_stop")) & (F.col("available_at") <= F.col("asof_ts")))
+    cut = pieces(held, F.greatest("effective_from", lo), F.least(F.coalesce("effective_to", stop), stop), bucket_days)
+    asked = asks.withColumn("_bucket", day_bucket(F.col("date"), bucket_days))
+    hit = asked.join(cut, ["index_id", "_bucket"]).where((F.col("_lo") <= F.col("date")) & (F.col("date") < F.col("_stop")) & (F.col("available_at") <= F.col("asof_ts")))
     decided = hit.groupBy("index_id", "date", "asof_ts", "security_id").agg(F.max(F.struct("available_at", "revision_id", "_is")).alias("_v"))
     return decided.where("_v._is").select("index_id", "date", "asof_ts", "security_id", "_v.available_at", "_v.revision_id")
 
@@ -94,9 +84,9 @@ def known_intervals(rows: DataFrame, asofs: Sequence[object], bucket_days: int =
     # Past the last border of all nothing changes any more: what holds on that day is open-ended.
     horizon = F.date_add(F.lit(last).cast("date"), 1)
     key = ["asof_ts", "index_id", "security_id"]
-    pieces = stage(_pieces(known, F.col("effective_from"), F.coalesce(F.col("effective_to"), horizon), bucket_days), "pieces")
-    first_day = F.date_add(F.lit(dt.date(1990, 1, 1)), F.col("_bucket") * bucket_days)
-    inside = pieces.select(*key, "_bucket", F.greatest("_lo", first_day).alias("lo"), F.least("_stop", F.date_add(first_day, bucket_days)).alias("hi"), F.struct("available_at", "revision_id", F.col("_is").alias("member")).alias("v"))
+    cut = stage(pieces(known, F.col("effective_from"), F.coalesce(F.col("effective_to"), horizon), bucket_days), "pieces")
+    first_day = bucket_start(F.col("_bucket"), bucket_days)
+    inside = cut.select(*key, "_bucket", F.greatest("_lo", first_day).alias("lo"), F.least("_stop", F.date_add(first_day, bucket_days)).alias("hi"), F.struct("available_at", "revision_id", F.col("_is").alias("member")).alias("v"))
     edges = inside.select(*key, "_bucket", F.explode(F.array("lo", "hi")).alias("from")).distinct()
     order = Window.partitionBy(*key, "_bucket").orderBy("from")  # at most a bucket's days
     segments = edges.withColumn("to", F.lead("from").over(order)).where("to is not null")

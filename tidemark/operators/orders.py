@@ -14,7 +14,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.contracts import STATUS_SUSPENDED, ContractViolation, enforce, union_all, violation
@@ -25,6 +25,7 @@ from tidemark.operators.asof import running_sum
 from tidemark.operators.calendar import SessionCalendar, listing_session_number, next_session
 from tidemark.operators.pit import latest_revision
 from tidemark.operators.returns import late_bar_violations
+from tidemark.operators.rules import NORMAL, rules_asof
 from tidemark.staging import stage
 
 PRICE_TOLERANCE = 1e-9
@@ -35,16 +36,16 @@ ADV_SESSIONS = 20
 @dataclass(frozen=True)
 class ExecutionRules:
     fees: FeeSchedule = field(default_factory=FeeSchedule)
-    limits: LimitRules = field(default_factory=LimitRules)
+    limits: LimitRules | DataFrame = field(default_factory=LimitRules)
     lot: int = 100
     lot_policy: str = "ROUND_DOWN"
-    opening_fraction: Decimal = Decimal("0.05")
+    opening_fraction: Decimal | Column = Decimal("0.05")
     adv_sessions: int = ADV_SESSIONS
     close_lookback: int = CLOSE_LOOKBACK
     strict_pit: bool = True
 
     def __post_init__(self) -> None:
-        if self.opening_fraction <= 0:
+        if not isinstance(self.opening_fraction, Column) and self.opening_fraction <= 0:
             raise ContractViolation("opening liquidity fraction must be positive")
         if self.adv_sessions <= 0:
             raise ContractViolation("trailing window must be positive")
@@ -102,7 +103,7 @@ def capacity(orders: DataFrame, bars: DataFrame, cal: SessionCalendar, n: int =
     return _with_cap(orders.join(state, ["security_id", "decision_date"], "left"), n, fraction)
 
 
-def _with_cap(rows: DataFrame, n: int, fraction: Decimal) -> DataFrame:
+def _with_cap(rows: DataFrame, n: int, fraction: Decimal | Column) -> DataFrame:
     status = F.when(F.col("trailing_adv_notional").isNull(), F.lit(None)).when(F.col("adv_days") >= n, F.lit("ADV_FULL_WINDOW")).otherwise(F.lit("ADV_PARTIAL_WINDOW"))
     cap = money(F.col("trailing_adv_notional") * F.lit(fraction).cast("decimal(8,6)"))
     return rows.withColumn("max_order_notional", cap).withColumn("adv_window_status", status).drop("adv_days")
@@ -165,10 +166,19 @@ def reference_violations(orders: DataFrame) -> DataFrame:
     return violation(orders, F.col("reference_violation").isNotNull(), "LIMIT_REFERENCE_INPUT", ["portfolio_id", "decision_date", "security_id", "side"], F.col("reference_violation"))
 
 
-def price_limits(orders: DataFrame, master: DataFrame, cal: SessionCalendar, rules: LimitRules = LimitRules(), master_day: str = "decision_date") -> DataFrame:
-    """Limit-up and limit-down prices of the next session under the board's dated rule."""
+def price_limits(orders: DataFrame, master: DataFrame, cal: SessionCalendar, rules: LimitRules | DataFrame = LimitRules(), master_day: str = "decision_date") -> DataFrame:
+    """Limit-up and limit-down prices of the next session under the board's dated rule.
+
+    ``rules`` are dated parameters, or a table of rule rows of which each decision uses those known at its close; orders
+    may then carry a ``status_flag``. A new listing that its rule exempts has no limit, flagged or not.
+    """
     named = board_asof(orders, master, master_day)
-    numbered = listing_session_number(named, cal, "list_date", "next_session", "_nth").withColumn("_rule", rules.resolve("board", "next_session"))
+    numbered = listing_session_number(named, cal, "list_date", "next_session", "_nth")
+    if isinstance(rules, LimitRules):
+        numbered = numbered.withColumn("_rule", rules.resolve("board", "next_session"))
+    else:
+        flagged = numbered if "status_flag" in orders.columns else numbered.withColumn("status_flag", F.lit(NORMAL))
+        numbered = rules_asof(flagged.withColumn("_known", market_close_ts("decision_date")), rules, "next_session", "_known", "_rule").drop("_known", *([] if "status_flag" in orders.columns else ["status_flag"]))
     nth, policy = F.col("_nth"), F.col("_rule.policy")
     exempt = ((policy == "FIRST_FIVE_NO_LIMIT") & (nth <= 5)) | ((policy == "FIRST_DAY_NO_LIMIT") & (nth == 1))
     asymmetric = (policy == "FIRST_DAY_ASYMMETRIC") & (nth == 1) & F.col("_rule.first_up").isNotNull() & F.col("_rule.first_down").isNotNull()
@@ -339,8 +349,11 @@ def _walk_cash(rows: DataFrame, day: list[str]) -> DataFrame:
 # -- fills -----------------------------------------------------------------------------------
 
 
-def fill_orders(locked: DataFrame, bars: DataFrame, fees: FeeSchedule = FeeSchedule(), seq: str = "intent_seq") -> DataFrame:
-    """T+1 open outcomes with fees; sells come before buys in a portfolio's round."""
+def fill_orders(locked: DataFrame, bars: DataFrame, fees: FeeSchedule = FeeSchedule(), seq: str = "intent_seq", slippage: Column | None = None) -> DataFrame:
+    """T+1 open outcomes with fees; sells come before buys in a portfolio's round.
+
+    ``slippage`` is a share of the open that buys pay more and sells get less; limits are judged at the open itself.
+    """
     rows = execution_bar(locked, bars)
     open_price = F.col("open_price")
     applied = F.col("limit_check") == "APPLIED"
@@ -364,14 +377,18 @@ def fill_orders(locked: DataFrame, bars: DataFrame, fees: FeeSchedule = FeeSched
     )
     judged = rows.withColumn("reason", reason).withColumn("status", status)
     filled = F.col("status") == "FILLED"
-    priced = fees.breakdown(F.col("side"), F.col("next_session"), F.when(filled, open_price), F.when(filled, F.col("locked_quantity")))
+    paid = open_price
+    if slippage is not None:
+        share = F.when(F.col("side") == "buy", slippage).otherwise(-slippage).cast("decimal(8,6)")
+        paid = F.round(open_price.cast("decimal(14,6)") * (F.lit(1).cast("decimal(8,6)") + share), 6).cast("decimal(14,6)")
+    priced = fees.breakdown(F.col("side"), F.col("next_session"), F.when(filled, paid), F.when(filled, F.col("locked_quantity")))
     zero = F.lit(0).cast("decimal(18,2)")
     limit_hit = F.col("reason").isin("LIMIT_UP_NO_BUY", "LIMIT_DOWN_NO_SELL")
     order = Window.partitionBy("portfolio_id", "decision_date").orderBy(F.col("side").desc(), F.col(seq))
     return judged.withColumns(
         {
             "execution_date": F.when(F.col("lock_status") == "LOCKED", F.col("next_session")),
-            "execution_price": F.when(filled | limit_hit, open_price),
+            "execution_price": F.when(filled, paid).when(limit_hit, open_price),
             "filled_quantity": F.when(filled, F.col("locked_quantity")).otherwise(F.lit(0).cast("bigint")),
             "limit_check": F.when(filled | limit_hit, F.col("limit_check")).otherwise("NOT_EVALUATED"),
             "round_seq": F.row_number().over(order),

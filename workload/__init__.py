@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "research", "trading", "evidence", "landing", "designs", "report")
+MODULES = ("market", "research", "trading", "evidence", "landing", "designs", "report", "market_rules")
 
 
 def all_cases():
