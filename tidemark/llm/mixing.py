@@ -6,8 +6,9 @@ ceil((k + 1) * period / u); every slot goes to the released block with the earli
 slot each source has then had less than one block more or less than its weight asks for.
 
 Releases and deadlines repeat every ``period`` slots, so the schedule of one period, a table bounded by
-that parameter or by the number of sources, gives the slot of every block of any amount of data. Only running sizes are computed
-over the data, in buckets of the order, so that a hot source is spread.
+ten slots a source where that is more, gives the slot of every block of any amount of data. Only running sizes are
+computed over the data, in buckets of the order, so that a hot source is spread; equal rows are counted first and
+take their places after each other, so that no number of copies is one bucket.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from tidemark.operators.asof import running_sum
 from tidemark.staging import stage
 
 PERIOD, BLOCK, ALPHA = 1000, 20_000, 0.8
+ROW_COLUMNS = ("doc_id", "source", "size", "block", "release", "deadline", "slot", "in_mix")
 
 
 @dataclass(frozen=True)
@@ -49,8 +51,8 @@ def units(weights: dict[str, float], period: int) -> dict[str, int]:
 
 
 def period_for(sources: int, period: int) -> int:
-    """``period``, or where more sources have a weight than it has slots, ten slots a source, so that weights still differ."""
-    return period if sources <= period else 10 * sources
+    """Slots of a period: ``period``, or ten a source if that is more, so that weights still differ."""
+    return max(period, 10 * sources)
 
 
 def one_period(shares: dict[str, int], period: int) -> list[tuple[str, int, int]]:
@@ -79,17 +81,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     block in which it begins; one longer than a block uses up the following ones too. ``in_mix`` holds for the
     slots before the first source has no whole block left; there the mix is at its targets. Later texts still
     have their slots: a source that runs out leaves its slots empty, and the others go on in their own proportions.
-    Null texts are empty, a null source is the source ''. Rows with one doc_id are
-    ordered by text; equal rows take places after each other. Sources without a positive weight have no
-    slot and are not in the mix. The driver holds one number a weighted source, and ``period`` grows where there are
-    more of them than slots (``period_for``). An empty table gives no rows. ``carry`` names small columns to hand through; others
+    Null texts are empty, a null source is the source ''. The order is a hash of id and text; equal rows take places
+    after each other. Sources without a positive weight have no slot and are not in the mix. The driver holds one period's
+    schedule, ten slots a weighted source or ``period`` if that is more (``period_for``). An empty table gives no rows.
+    ``carry`` names small columns to hand through, under names that are not columns of ``rows`` (else ValueError); others
     are not read.
     """
+    clash = sorted(set(carry) & set(ROW_COLUMNS))
+    if clash:
+        raise ValueError(f"carried columns have names of the result: {clash}")
     spark = docs.sparkSession
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    light = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(text).cast("long").alias("size"), order.alias("_order"), F.substring(order, 1, 3).alias("_bucket"), F.md5(text.cast("binary")).alias("_tie"), *carry)
-    light = stage(light, "sizes")
+    order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0)
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(text).cast("long").alias("_one"), order.alias("_order"), carried.alias("_carried"))
+    equal = rows.groupBy("doc_id", "source", "_one", "_order", "_carried").agg(F.count("*").alias("_copies"))
+    light = stage(equal.withColumns({"size": F.col("_one") * F.col("_copies"), "_bucket": F.substring("_order", 1, 3)}), "sizes")
     weighted = None if weights is None else [k for k, w in weights.items() if w > 0]
     mixed = light.where("size > 0") if weighted is None else light.where(F.col("source").isin(weighted))
     totals = {r["source"]: r["size"] for r in mixed.groupBy("source").agg(F.sum("size").alias("size")).collect()}
@@ -102,7 +109,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     ends = [(totals[k] // block // u) * period + whole[k, totals[k] // block % u] for k, u in shares.items()]
     horizon = min(ends, default=0)
 
-    placed = running_sum(light, ["source"], ["_bucket"], ["_order", "doc_id", "_tie"], "size", "_upto")
+    groups = running_sum(light, ["source"], ["_bucket"], ["_order", "doc_id", "_carried"] if carry else ["_order", "doc_id"], "size", "_end")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    placed = groups.select("doc_id", "source", F.col("_one").alias("size"), "_carried", (F.col("_end") - F.col("size")).alias("_from"), copies.alias("_copy"))
+    placed = placed.withColumn("_upto", F.col("_from") + F.col("size") * F.col("_copy")).drop("_from", "_copy")
     plan = spark.createDataFrame([(k, n, slot, shares[k]) for k, n, slot in slots], "source string, _nth bigint, _slot bigint, _units bigint")
     share = spark.createDataFrame(list(shares.items()), "source string, _units bigint")
     at = placed.join(share, "source", "left").withColumn("block", F.expr(f"(_upto - size) div {block}L"))
@@ -115,7 +125,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         F.expr(f"(block * {period}L) div _units").alias("release"),
         F.expr(f"((block + 1) * {period}L + _units - 1) div _units").alias("deadline"),
         F.expr(f"(block div _units) * {period}L + _slot").alias("slot"),
-        *carry,
+        *[F.col(f"_carried.{c}").alias(c) for c in carry],
     )
     return Mix(rows.withColumn("in_mix", F.coalesce(F.col("slot") < F.lit(horizon), F.lit(False))), shares, horizon, period)
 
@@ -123,23 +133,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
 def mix_sql(alpha: float = ALPHA, period: int = PERIOD, block: int = BLOCK) -> str:
     """The same as DuckDB SQL: the schedule of one period by a recursive query."""
     return f"""
-with recursive light as materialized (select doc_id, coalesce(source, '') as source, cast(length(coalesce(text, '')) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as o, md5(coalesce(text, '')) as tie from documents),
+with recursive light as materialized (select doc_id, coalesce(source, '') as source, cast(length(coalesce(text, '')) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as o from documents),
 totals as materialized (select source, cast(sum(size) as bigint) as size from light group by source),
-weighted as (select source, size, power(size, {alpha}) as w from totals where size > 0),
-exact as (select source, size, w / sum(w) over () * ({period} - count(*) over ()) as x from weighted),
-whole as (select source, size, x, 1 + cast(floor(x) as bigint) as given, {period} - sum(1 + cast(floor(x) as bigint)) over () as rest from exact),
-shares as materialized (select source, size, given + case when row_number() over (order by floor(x) - x, source) <= rest then 1 else 0 end as u from whole),
-listed as materialized (select list(source order by source) as s, list(u order by source) as u, count(*) as n from shares),
+weighted as (select source, size, power(size, {alpha}) as w, greatest({period}, 10 * count(*) over ()) as p from totals where size > 0),
+exact as (select source, size, p, w / sum(w) over () * (p - count(*) over ()) as x from weighted),
+whole as (select source, size, p, x, 1 + cast(floor(x) as bigint) as given, p - sum(1 + cast(floor(x) as bigint)) over () as rest from exact),
+shares as materialized (select source, size, p, given + case when row_number() over (order by floor(x) - x, source) <= rest then 1 else 0 end as u from whole),
+listed as materialized (select list(source order by source) as s, list(u order by source) as u, count(*) as n, max(p) as p from shares),
 slots as (
   select cast(0 as bigint) as slot, cast(null as bigint) as pick, list_transform(u, lambda x: cast(0 as bigint)) as done from listed
   union all
   select slot + 1, pick2, list_transform(done, lambda x, i: case when i = pick2 then x + 1 else x end)
-  from (select slot, done, list_sort(list_transform(list_filter(range(1, n + 1), lambda i: done[i] < u[i] and (done[i] * {period}) // u[i] <= slot), lambda i: {{'d': ((done[i] + 1) * {period} + u[i] - 1) // u[i], 'i': i}}))[1].i as pick2 from slots, listed where slot < {period})
+  from (select slot, done, list_sort(list_transform(list_filter(range(1, n + 1), lambda i: done[i] < u[i] and (done[i] * p) // u[i] <= slot), lambda i: {{'d': ((done[i] + 1) * p + u[i] - 1) // u[i], 'i': i}}))[1].i as pick2 from slots, listed where slot < p)
 ),
 plan as materialized (select s[pick] as source, done[pick] - 1 as nth, slot - 1 as slot from slots, listed where pick is not null),
-horizon as (select min((h.size // {block} // h.u) * {period} + p.slot) as h from shares h join plan p on p.source = h.source and p.nth = (h.size // {block}) % h.u),
-placed as (select doc_id, source, size, cast(sum(size) over (partition by source order by o, doc_id, tie rows unbounded preceding) as bigint) as upto from light),
-found as (select p.*, u, (upto - p.size) // {block} as block from placed p left join shares using (source))
-select doc_id, found.source, size, cast(block as bigint) as block, cast(block * {period} // u as bigint) as release, cast(((block + 1) * {period} + u - 1) // u as bigint) as deadline,
-  cast((block // u) * {period} + plan.slot as bigint) as slot, coalesce((block // u) * {period} + plan.slot < (select h from horizon), false) as in_mix
+horizon as (select min((h.size // {block} // h.u) * h.p + p.slot) as h from shares h join plan p on p.source = h.source and p.nth = (h.size // {block}) % h.u),
+placed as (select doc_id, source, size, cast(sum(size) over (partition by source order by o, doc_id rows unbounded preceding) as bigint) as upto from light),
+found as (select p.*, u, shares.p as per, (upto - p.size) // {block} as block from placed p left join shares using (source))
+select doc_id, found.source, size, cast(block as bigint) as block, cast(block * per // u as bigint) as release, cast(((block + 1) * per + u - 1) // u as bigint) as deadline,
+  cast((block // u) * per + plan.slot as bigint) as slot, coalesce((block // u) * per + plan.slot < (select h from horizon), false) as in_mix
 from found left join plan on plan.source = found.source and plan.nth = block % u"""
