@@ -4,8 +4,9 @@ Every language has a codeword of +1 and -1; one binary classifier a bit, a logis
 byte n-grams, predicts it. A text gets the language whose codeword its bits cost least (logistic loss,
 so a confident wrong bit weighs more than a doubtful one), and is flagged where a second is nearly as near.
 
-The classifiers are fitted on a bounded sample of labelled texts (``per_language`` of each language,
-chosen by a hash); languages and their sizes are counted over all of them.
+The classifiers are fitted on a bounded sample of labelled texts: of each language the ``per_language`` distinct
+texts of least hash, fewer where that would be more than ``most_sampled`` in all, one at least. So neither a
+text repeated without end nor a large language takes another's places. Languages are counted over all texts.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import _LOWER, batch, fold, mix, runs
 
-PER_LANGUAGE, MAX_LANGUAGES, BUCKETS, ORDERS = 400, 1000, 4096, (1, 2, 3)
+PER_LANGUAGE, MOST_SAMPLED, BUCKETS, ORDERS = 400, 8000, 4096, (1, 2, 3)
 UNKNOWN, NEARLY = "und", 1.0
 
 
@@ -71,34 +72,48 @@ class LanguageModel:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language's number, its share of 1 by loss, and whether another costs less than ``NEARLY`` more."""
         margins = x @ self.weights + self.bias
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]).sum(2)
+        loss = np.logaddexp(0, -margins) @ (self.code.T > 0) + np.logaddexp(0, margins) @ (self.code.T < 0)
         order = np.sort(loss, axis=1)
         share = np.exp(order[:, 0:1] - loss).sum(1)
         return loss.argmin(1), 1 / share, order[:, 1] - order[:, 0] < NEARLY if loss.shape[1] > 1 else np.zeros(len(x), bool)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("_h", pa.int64()), ("x", pa.binary())])
+    """Features as their places and values; most n-grams do not occur in a text."""
+    schema = pa.schema([("lang", pa.string()), ("_h", pa.int64()), ("at", pa.binary()), ("x", pa.binary())])
     for rows in batches:
         for lo, hi, offsets, data in runs(rows.column("text"), 1 << 19, 512):
-            yield batch(schema, lang=rows.column("lang").slice(lo, hi - lo).cast(pa.string()), _h=rows.column("_h").slice(lo, hi - lo), x=[x.tobytes() for x in features(offsets, data)])
+            found = features(offsets, data)
+            places = [np.flatnonzero(x).astype(np.int32) for x in found]
+            yield batch(schema, lang=rows.column("lang").slice(lo, hi - lo).cast(pa.string()), _h=rows.column("_h").slice(lo, hi - lo), at=[p.tobytes() for p in places], x=[x[p].tobytes() for x, p in zip(found, places, strict=True)])
+
+
+def sample(rows: DataFrame, per_language: int = PER_LANGUAGE, most_sampled: int = MOST_SAMPLED) -> tuple[list[str], DataFrame]:
+    """All languages of ``rows`` (text, lang) and the drawn texts (lang, _h, text): distinct ones, by rank of their hash within the language."""
+    known = rows.select(F.col("lang").cast("string").alias("lang"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text", F.lit(11)))
+    distinct = known.select("lang", "_h").distinct()
+    sizes = distinct.groupBy("lang").agg(F.count("*").alias("_n"))
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
+    each = max(1, min(per_language, most_sampled // max(1, len(languages))))
+    # Ranks are taken of a few times as many as are wanted, so no language is ordered as a whole.
+    span = 1 << 30
+    few = distinct.join(sizes, "lang").where(F.pmod("_h", F.lit(span)) / F.lit(float(span)) * F.col("_n") < 4.0 * each + 16)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(span)), "_h"))
+    drawn = few.withColumn("_rank", rank).where(F.col("_rank") <= each).select("lang", "_h")
+    return languages, known.join(drawn, ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
 
 
-def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, steps: int = 300) -> LanguageModel:
+def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, steps: int = 300, most_sampled: int = MOST_SAMPLED) -> LanguageModel:
     """Learn from ``rows`` (text, lang); null texts and languages are left out."""
-    known = rows.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(sizes)
+    languages, drawn = sample(rows, per_language, most_sampled)
     code = codewords(len(languages))
     if len(languages) < 2:
         return LanguageModel(languages, code, np.zeros((BUCKETS, 0)), np.zeros(0))
-    span = 1 << 30
-    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(span, span * per_language // sizes[k]))])
-    drawn = known.withColumn("_h", F.xxhash64("text", F.lit(11))).where(F.pmod("_h", F.lit(span)) < share[F.col("lang")])
-    table = drawn.limit(2 * per_language * len(languages)).mapInArrow(_sampled, "lang string, _h bigint, x binary").toArrow().sort_by([("_h", "ascending"), ("lang", "ascending")])
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), dtype=np.float32).reshape(-1, BUCKETS).astype(np.float64)
+    spread = drawn.repartition(drawn.sparkSession.sparkContext.defaultParallelism)
+    table = spread.mapInArrow(_sampled, "lang string, _h bigint, at binary, x binary").toArrow().sort_by([("_h", "ascending"), ("lang", "ascending")])
+    x = np.zeros((table.num_rows, BUCKETS), np.float32)
+    for k, (at, values) in enumerate(zip(table["at"].to_pylist(), table["x"].to_pylist(), strict=True)):
+        x[k, np.frombuffer(at, np.int32)] = np.frombuffer(values, np.float32)
     number = {k: i for i, k in enumerate(languages)}
     which = np.array([number[k] for k in table["lang"].to_pylist()], dtype=np.int64)
     y = code[which]
@@ -107,8 +122,8 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, steps: int = 300) ->
     w, b = np.zeros((BUCKETS, code.shape[1])), np.zeros(code.shape[1])
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     for t in range(1, steps + 1):
-        g = -y / (1 + np.exp(np.clip(y * (x @ w + b), -50, 50))) * balance
-        for p, d, first, second in ((w, x.T @ g + 1e-6 * w, m, v), (b, g.sum(0), mb, vb)):
+        g = -y / (1 + np.exp(np.clip(y * (x @ w.astype(np.float32) + b), -50, 50))) * balance
+        for p, d, first, second in ((w, x.T @ g.astype(np.float32) + 1e-6 * w, m, v), (b, g.sum(0), mb, vb)):
             first += 0.1 * (d - first)
             second += 0.01 * (d * d - second)
             p -= 0.2 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
