@@ -5,8 +5,8 @@ words, all hashed into ``SLOTS`` slots and weighted by the root of their count,
 for each term and, for each pair of terms, the product of two short learned vectors, so that a pair can
 count for more or less than its terms do.
 
-The model is fitted on a bounded sample of labelled texts (``most_toxic`` and ``most_other``, chosen by a
-hash). Scoring is one pass over all texts, without a shuffle.
+The model is fitted on a bounded sample of labelled texts: of each class the ``most_toxic`` or ``most_other`` ids of
+least hash, one text each. Scoring is one pass over all texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, fold, mix, runs, words
@@ -174,17 +174,31 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(schema, toxic=rows.column("toxic").slice(lo, hi - lo), _h=rows.column("_h").slice(lo, hi - lo), s=[s.astype(np.int32).tobytes() for s, _ in found], x=[x.astype(np.float32).tobytes() for _, x in found])
 
 
+def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER) -> DataFrame:
+    """(text, toxic, _h) to learn from: by rank of the id's hash within each class.
+
+    An id with both labels has the one of most of its rows, and is left out if they are equal in number; labels other than
+    0 and 1, null ids and ids without a text are left out. Of several texts of an id the least is taken.
+    """
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    voted = marked.groupBy("doc_id").agg((F.sum("toxic") * 2 - F.count("*")).alias("_vote")).where("_vote <> 0")
+    settled = voted.select("doc_id", F.when(F.col("_vote") > 0, 1).otherwise(0).alias("toxic"), F.xxhash64("doc_id", F.lit(23)).alias("_h"))
+    named = settled.join(docs.where(F.col("text").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
+    sizes = {r["toxic"]: r["count"] for r in named.groupBy("toxic").count().collect()}
+    # Ranks are taken of a few times as many as are wanted, so no class is ordered as a whole.
+    span, most = 1 << 30, F.when(F.col("toxic") == 1, most_toxic).otherwise(most_other)
+    reach = lambda k, n: min(span, span * (4 * n + 16) // max(1, sizes.get(k, 0)))
+    few = named.where(F.pmod("_h", F.lit(span)) < F.when(F.col("toxic") == 1, reach(1, most_toxic)).otherwise(reach(0, most_other)))
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.pmod("_h", F.lit(span)), "doc_id"))
+    drawn = few.withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", "toxic", "_h")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # bounded by the two parameters
+    return texts.groupBy("doc_id", "toxic", "_h").agg(F.min("text").alias("text")).select("text", "toxic", "_h")
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER) -> Machine:
-    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1); null labels and ids without a text are left out."""
-    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    span = 1 << 30
-    share = {k: min(span, span * most // max(1, sizes.get(k, 0))) for k, most in ((1, most_toxic), (0, most_other))}
-    hashed = F.xxhash64("doc_id", F.lit(23))
-    drawn = marked.withColumn("_h", hashed).where(F.pmod("_h", F.lit(span)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    # The sample has a bound, so it may be sent to every executor.
-    drawn = F.broadcast(drawn.limit(2 * (most_toxic + most_other)))
-    table = docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "toxic", "_h").limit(2 * (most_toxic + most_other)).mapInArrow(_sampled, "toxic int, _h bigint, s binary, x binary").toArrow().sort_by([("_h", "ascending"), ("s", "ascending")])
+    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1) by their :func:`sample`."""
+    spread = sample(docs, labels, most_toxic, most_other).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    table = spread.mapInArrow(_sampled, "toxic int, _h bigint, s binary, x binary").toArrow().sort_by([("_h", "ascending"), ("s", "ascending")])
     rows = [(np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)) for s, x in zip(table["s"].to_pylist(), table["x"].to_pylist(), strict=True)]
     return train(rows, (np.array(table["toxic"].to_pylist(), dtype=np.int64) == 1).astype(float))
 
