@@ -109,13 +109,18 @@ def test_mixing_keeps_within_a_block_of_the_weights(docs, nothing):
     mixed = mixing.mix(docs, period=20, block=500)
     got = mixed.rows.collect()
     assert len(got) == len(rows()) and {r.source for r in got} == {"", "s0", "s1", "s2"}
+    assert mixed.period == 30  # ten slots a source that has text
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     for source, u in mixed.shares.items():
-        mine = sorted((r for r in got if r.source == source), key=lambda r: (r.block, r.slot))
-        at = 0
-        for r in sorted(mine, key=lambda r: hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()):
-            assert r.block <= at // 500 and r.release <= r.slot < r.deadline and r.release == r.block * 20 // u
-            at += r.size
-        assert all(r.in_mix == (r.slot < mixed.horizon) for r in mine)
+        mine = [r for r in got if r.source == source]
+        at, want = 0, []
+        for k, t, *_ in sorted((r for r in rows() if (r[3] or "") == source), key=lambda r: md5(f"{'' if r[0] is None else r[0]}:{md5(r[1] or '')}")):
+            want.append((k, at // 500, len(t or "")))
+            at += len(t or "")
+        assert sorted(want, key=key) == sorted([(r.doc_id, r.block, r.size) for r in mine], key=key)
+        assert all(r.release <= r.slot < r.deadline and r.release == r.block * 30 // u and r.in_mix == (r.slot < mixed.horizon) for r in mine)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, carry=("size",))
     empty = mixing.mix(nothing)
     assert empty.rows.collect() == [] and empty.horizon == 0
     with_weights = mixing.mix(docs, {"s0": 1.0, "s1": 1.0}, period=20, block=500)
@@ -469,10 +474,74 @@ def test_toxicity_learns_pairs_of_words_that_tell_nothing_alone():
 def test_mixing_of_more_sources_than_slots(spark):
     many = spark.createDataFrame([(i, "" if i % 2 else "text of its own", f"s{i:02}") for i in range(60)], "doc_id bigint, text string, source string")
     few = mixing.mix(many, {"s58": 3.0, "s59": 1.0, "none": 1.0, "s00": 0.0}, period=8, block=5)
-    assert few.shares == {"s58": 6, "s59": 2} and few.period == 8
+    assert few.shares == {"s58": 15, "s59": 5} and few.period == 20
     assert {r.source for r in few.rows.where("slot is not null").collect()} == {"s58", "s59"}
     every = mixing.mix(many, period=20, block=5)
     got = every.rows.collect()
     assert every.period == 300 and sum(every.shares.values()) == 300 and len(every.shares) == 30
     assert len(got) == 60 and all((r.slot is None) == (r.size == 0) for r in got)
     assert all(r.release <= r.slot < r.deadline for r in got if r.slot is not None)
+
+
+def test_mixing_spreads_null_ids_and_copies(spark):
+    made = [(None, f"text {i}", "a") for i in range(300)] + [(7, "copy", "a")] * 500 + [(i, "x" * 30, "b") for i in range(50)]
+    got = mixing.mix(spark.createDataFrame(made, "doc_id bigint, text string, source string"), block=40).rows.collect()
+    assert len(got) == 850 and all(r.release <= r.slot < r.deadline for r in got)
+    taken = sorted(r.block for r in got if r.doc_id == 7 and r.source == "a")
+    first = taken[0]
+    assert all(first <= b <= first + 500 * 4 // 40 + 1 for b in taken) and len(set(taken)) >= 50
+
+
+def test_language_sample_is_by_language_and_decoding_is_plain(spark):
+    stock = {"aa": "sun moon star sky cloud rain".split(), "bb": "zug bahn gleis wagen fahrt halt".split(), "cc": "mesa silla plato vaso jarra taza".split()}
+    made = [("aa", prose(1, 30, stock["aa"]))] * 3000 + [(k, prose(i, 30, stock[k])) for i in range(120) for k in stock]
+    table = spark.createDataFrame(made, "lang string, text string")
+    languages, drawn = language_id.sample(table, per_language=20)
+    counts = collections.Counter(r.lang for r in drawn.collect())
+    assert languages == ["aa", "bb", "cc"] and counts == {"aa": 20, "bb": 20, "cc": 20}
+    model = language_id.fit(table, per_language=20)
+    got = language_id.predict(table.withColumn("doc_id", table["lang"]), model).collect()
+    assert sum(r.lang_pred == r.doc_id for r in got) >= 0.98 * len(got)
+    x = np.random.default_rng(1).normal(size=(9, language_id.BUCKETS))
+    best, score, _ = model.decode(x)
+    for row, b, s in zip(x, best, score):
+        margins = [sum(v * w for v, w in zip(row, column)) + bias for column, bias in zip(model.weights.T, model.bias)]
+        loss = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margins, word)) for word in model.code]
+        assert loss.index(min(loss)) == b and s == pytest.approx(1 / sum(math.exp(min(loss) - x) for x in loss))
+    many = spark.createDataFrame([(f"l{i:04}", f"word{i} again") for i in range(1200)], "lang string, text string")
+    names, few = language_id.sample(many, per_language=400, most_sampled=600)
+    assert len(names) == 1200 and few.count() == 1200
+
+
+def test_toxic_labels_are_voted_and_sampled_by_class(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(400)] + [(5, "another text")] * 3 + [(6, None)], "doc_id bigint, text string")
+    marks = [(i, int(i < 40)) for i in range(400) if i != 9] + [(1, 0), (2, 0), (2, 0), (3, 1), (8, None), (8, 7), (9, None), (500, 1), (None, 1)]
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    got = toxicity.sample(docs, labels, most_toxic=1000, most_other=1000).collect()
+    ids = {r.text: r.toxic for r in got}
+    assert len(got) == len(ids) == 398 and "text number 1" not in ids and ids["text number 2"] == 0 and ids["text number 3"] == 1 and "text number 9" not in ids
+    assert "another text" in ids and "text number 5" not in ids  # one text an id, the least
+    few = collections.Counter(r.toxic for r in toxicity.sample(docs, labels, most_toxic=10, most_other=30).collect())
+    assert few == {1: 10, 0: 30}
+
+
+def test_machine_equals_the_plain_pairwise_sum():
+    rng = np.random.default_rng(5)
+    model = toxicity.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
+    rows = [(np.array([3, 7, 20]), np.array([1.0, 1.4, 2.0])), (np.array([9]), np.array([1.2])), (np.arange(30), rng.random(30))]
+    size = np.array([len(s) for s, _ in rows])
+    raw = model.raw(np.concatenate([s for s, _ in rows]), np.concatenate([x for _, x in rows]), np.cumsum(size) - size)
+    for (slots, x), value in zip(rows, raw):
+        want = model.bias + sum(model.linear[s] * w for s, w in zip(slots, x))
+        want += sum(float(model.factors[a] @ model.factors[b]) * u * v for i, (a, u) in enumerate(zip(slots, x)) for b, v in list(zip(slots, x))[:i])
+        assert value == pytest.approx(want)
+
+
+def test_token_lengths_are_those_of_the_encoder(spark, docs, nothing):
+    got = token_counts.with_token_lengths(docs.select("doc_id", "text", "rid")).collect()
+    with open(token_counts.VOCABULARY, "rb") as file:
+        encoder = token_counts.Encoder(file.read())
+    assert len(got) == len(rows()) and all(r.n_tokens == len(encoder.spans(r.text or "")[1]) and r.rid == 9 for r in got)
+    assert token_counts.with_token_lengths(nothing).collect() == []
+    with pytest.raises(FileNotFoundError):
+        token_counts.with_token_lengths(docs, vocabulary="/nowhere/at/all")
