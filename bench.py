@@ -39,6 +39,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    # One machine times itself here, so its own temporary folder serves as the shared one.
     spark = build_session(
         "bench",
         f"local[{cpus}]",

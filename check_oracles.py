@@ -33,6 +33,7 @@ def main() -> int:
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     parser.add_argument("--zone", default="UTC")
     args = parser.parse_args()
+    # One machine checks itself here, so its own temporary folder serves as the shared one.
     spark = build_session("check", "local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="checks-"), "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": args.zone})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()

@@ -8,10 +8,14 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from tidemark.session import build_session  # noqa: E402
 
 
+#: Plans are many and rows few: interpreting them takes less than compiling each, and the JVM should not optimise what runs once.
+QUICK = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1"}
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = str(tmp_path_factory.mktemp("shared"))
-    session = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.checkpoint.dir": f"{shared}/checkpoint", "spark.sql.warehouse.dir": f"{shared}/warehouse"})
+    session = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", **QUICK, "spark.checkpoint.dir": f"{shared}/checkpoint", "spark.sql.warehouse.dir": f"{shared}/warehouse"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

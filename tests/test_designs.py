@@ -292,6 +292,15 @@ def test_universe_gives_the_first_broken_rule(spark, cal40):
     assert expensive.where("security_id = '000001' and trade_date = date'2026-01-25'").first().reason == "PRICE_TOO_LOW"
 
 
+def test_staging_needs_a_folder_that_all_nodes_reach():
+    from tidemark.staging import fallback_folder
+
+    assert fallback_folder("file:/home/warehouse/", "file", "local[4]") == "file:/home/warehouse/_staged"
+    assert fallback_folder("/warehouse", "hdfs", "yarn") == "/warehouse/_staged"
+    with pytest.raises(ValueError):
+        fallback_folder("/home/warehouse", "file", "yarn")
+
+
 # -- orders ----------------------------------------------------------------------------
 
 

@@ -303,6 +303,10 @@ def find_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
+# How far a citation reaches around its match: to a sentence end, without one, and where that is too short.
+SENTENCE_REACH, OPEN_REACH, WIDE_REACH, SHORTEST_QUOTE = 240, 120, 80, 15
+
+
 def quote_around(text: Column, start: Column, stop: Column) -> Column:
     """The sentence around a match, within fixed reaches, like a person would cite it."""
 
@@ -310,15 +314,15 @@ def quote_around(text: Column, start: Column, stop: Column) -> Column:
         return F.substring(text, a + 1, b - a)
 
     end = F.length(text)
-    back = F.greatest(F.lit(0), start - 240)
+    back = F.greatest(F.lit(0), start - SENTENCE_REACH)
     tail = F.regexp_replace(cut(back, start), "(?s)^.*[。；！？]", "")
     open_ = F.length(tail) == start - back
-    left = F.when(open_, F.greatest(F.lit(0), start - 120)).otherwise(start - F.length(tail))
-    head = F.regexp_extract(cut(stop, F.least(end, stop + 240)), "(?s)^([^。；！？]*[。；！？])", 1)
-    right = F.when(head == "", F.least(end, stop + 120)).otherwise(stop + F.length(head))
+    left = F.when(open_, F.greatest(F.lit(0), start - OPEN_REACH)).otherwise(start - F.length(tail))
+    head = F.regexp_extract(cut(stop, F.least(end, stop + SENTENCE_REACH)), "(?s)^([^。；！？]*[。；！？])", 1)
+    right = F.when(head == "", F.least(end, stop + OPEN_REACH)).otherwise(stop + F.length(head))
     quote = clean_fragment(cut(left, right))
-    wide = clean_fragment(cut(F.greatest(F.lit(0), start - 80), F.least(end, stop + 80)))
-    return F.when(F.length(quote) < 15, wide).otherwise(quote)
+    wide = clean_fragment(cut(F.greatest(F.lit(0), start - WIDE_REACH), F.least(end, stop + WIDE_REACH)))
+    return F.when(F.length(quote) < SHORTEST_QUOTE, wide).otherwise(quote)
 
 
 def _candidates(pages: DataFrame, field: str, anchors: Sequence[str], patterns: Sequence[str], group: int = 1, base: int = 0) -> DataFrame:
@@ -371,6 +375,7 @@ def extract_notice_fields(pages: DataFrame, titles: DataFrame | None = None) ->
     ``pages`` is ``(doc_id, page_no, text)``; ``titles`` adds ``(doc_id, title)`` notes.
     """
     found = notice_candidates(pages)
+    # Words that make a cash candidate the one being paid.
     actual = (F.contains(F.col("quote"), F.lit("实际")) | F.contains(F.col("quote"), F.lit("本次权益分派方案"))).cast("int")
     implementing = (F.contains(F.col("quote"), F.lit("实施")) | F.contains(F.col("quote"), F.lit("每股分配比例"))).cast("int")
     identity = F.when(F.col("field") == "cash", cash_identity("value")).when(F.col("field").isin("record_date", "ex_date"), date_identity("value")).otherwise(compact_date("value"))
@@ -410,6 +415,7 @@ def extract_notice_fields(pages: DataFrame, titles: DataFrame | None = None) ->
     missing_ex = F.when(F.coalesce("ex_varied", F.lit(False)), F.lit("除权除息日存在多个不同日期候选")).when(F.col("ex").isNull(), F.lit("未找到明确除权除息日原句"))
     pages_of = {"announcement_date": "announced", "cash": "cash", "ex_date": "ex", "record_date": "record", "share_ratio": "share"}
     located = F.concat_ws(",", *[F.when(F.col(source).isNotNull(), F.concat(F.lit(f"{name}=p"), F.col(f"{source}.page_no").cast("string"))) for name, source in pages_of.items()])
+    # The texts of the notes, here and in the two above.
     notes = F.concat_ws(
         "; ",
         F.when(F.col("cash").isNull(), F.lit("未找到明确带含税标识的每股或每10股现金分红原句")),

@@ -410,6 +410,7 @@ def run_summary(fills: DataFrame, entries: DataFrame, nav: DataFrame) -> DataFra
     return outcomes.join(events, "portfolio_id", "full_outer").join(final, "portfolio_id", "full_outer")
 
 
+# Event codes of the ledger and the action each reports.
 ACTION_OF_EVENT = {
     "CA_DIVIDEND_ACCRUED": "CASH_DIVIDEND",
     "CA_DIVIDEND_PAID": "CASH_DIVIDEND_PAYMENT",

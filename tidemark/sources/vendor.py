@@ -182,6 +182,7 @@ def normalize_actions_sina(df: DataFrame, symbol: str | Column, source_id: str =
 
 def normalize_actions_text(df: DataFrame, symbol: str | Column, source_id: str = "ths", check: bool = True) -> DataFrame:
     """Amounts parsed out of a free-text plan such as ``10送2转增3派1.5元``."""
+    # The vendor's column names and the wording of its plans.
     plan = F.col("分红方案说明") if "分红方案说明" in df.columns else F.lit("")
 
     def amount(pattern: str) -> Column:

@@ -19,16 +19,26 @@ SETTING = "spark.checkpoint.dir"
 def checkpoint_root(spark: SparkSession) -> str:
     """The session's shared ``spark.checkpoint.dir``.
 
-    Where it is unset, a folder of the warehouse, which every node of a cluster reaches
-    too, is set for the session. Nothing is ever staged in a machine-local folder.
+    Where it is unset, a folder of the warehouse is set for the session, which every node of a cluster
+    reaches too, unless the warehouse itself is a folder of the driver's machine: then a cluster has nowhere
+    to stage and this fails. Nothing is ever staged in a machine-local folder of a cluster.
     """
     configured = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not configured:
-        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        system = spark._jvm.org.apache.hadoop.fs.Path(warehouse).getFileSystem(spark._jsc.hadoopConfiguration())
+        configured = fallback_folder(warehouse, system.getUri().getScheme(), spark.sparkContext.master)
         spark.conf.set(SETTING, configured)
     return configured.rstrip("/")
 
 
+def fallback_folder(warehouse: str, scheme: str, master: str) -> str:
+    """The folder of the warehouse to stage in; a machine-local one (scheme file) serves a local master only."""
+    if scheme == "file" and not master.startswith("local"):
+        raise ValueError(f"set {SETTING} to a folder that all nodes reach: the warehouse {warehouse} is the driver's own")
+    return f"{warehouse.rstrip('/')}/_staged"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
