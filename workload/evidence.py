@@ -329,9 +329,12 @@ def _pages(t):
 
 
 DAY = "concat(year({c}), '年', month({c}), '月', day({c}), '日')"
+# The cited sentences, after white space is made plain.
+DATES_QUOTE = f"concat('股权登记日： ', {DAY.format(c='record_date')}, '，除权除息日：', {DAY.format(c='ex_date')}, '。')"
 FIELDS_SQL = f"""
 select doc_id, {CASH_TEXT} as cash_dividend_raw, case when doc_id % 5 = 0 then '' else {DAY.format(c='record_date')} end as record_date, {DAY.format(c='ex_date')} as ex_date, {DAY.format(c='ann')} as announcement_date,
-  {SHARE_TEXT} as share_ratio, case when doc_id % 5 = 0 or action_type = 'STOCK_DIVIDEND' or doc_id % 4 = 0 then 'low' else 'high' end as extraction_confidence from notices"""
+  {SHARE_TEXT} as share_ratio, case when doc_id % 5 = 0 or action_type = 'STOCK_DIVIDEND' or doc_id % 4 = 0 then 'low' else 'high' end as extraction_confidence,
+  concat('本次权益分派方案：', {CASH_TEXT}, '（含税）。') as cash_dividend_quote, case when doc_id % 5 = 0 then '' else {DATES_QUOTE} end as record_date_quote, {DATES_QUOTE} as ex_date_quote from notices"""
 
 
 FREE_NOTES = "; ".join(
@@ -354,9 +357,9 @@ from (select doc_id, action_type = 'STOCK_DIVIDEND' as stock from notices)"""
 
 @case(
     "q16_extract_notice_fields",
-    "doc_id:i cash_dividend_raw:s record_date:s ex_date:s announcement_date:s share_ratio:s cash_dividend_page:i announcement_date_page:i extraction_confidence:s notes:s",
+    "doc_id:i cash_dividend_raw:s record_date:s ex_date:s announcement_date:s share_ratio:s cash_dividend_page:i announcement_date_page:i extraction_confidence:s notes:s cash_dividend_quote:s record_date_quote:s ex_date_quote:s",
     f"""select f.*, 1 as cash_dividend_page, 2 as announcement_date_page, n.notes from ({FIELDS_SQL}) f join ({NOTES_SQL}) n using (doc_id)
-       union all select -1 - doc_id, '', '', '', '', '', 'low', null, null, '{FREE_NOTES}' from documents""",
+       union all select -1 - doc_id, '', '', '', '', '', 'low', '', '', '', null, null, '{FREE_NOTES}' from documents""",
     ("actions",),
     (("notices", NOTICE),),
 )
