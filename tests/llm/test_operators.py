@@ -545,3 +545,51 @@ def test_token_lengths_are_those_of_the_encoder(spark, docs, nothing):
     assert token_counts.with_token_lengths(nothing).collect() == []
     with pytest.raises(FileNotFoundError):
         token_counts.with_token_lengths(docs, vocabulary="/nowhere/at/all")
+
+
+def test_pipeline_stages_equal_their_sql_and_a_plain_packing(spark, docs, tmp_path):
+    import duckdb
+
+    folder = str(tmp_path)
+    held = docs.select(*corpus_pipeline.COLUMNS).where("doc_id is not null").dropDuplicates(["doc_id"])
+    held.write.parquet(f"{folder}/documents")
+    con, at = duckdb.connect(), "documents"
+    for name, stage in corpus_pipeline.STAGES:
+        before = spark.read.parquet(f"{folder}/{at}")
+        stage(spark, before, folder).write.parquet(f"{folder}/{name}")
+        after = spark.read.parquet(f"{folder}/{name}")
+        con.execute(f"create or replace view documents as select * from '{folder}/{at}/*.parquet'")
+        at = name
+        if name == "quality_rules":
+            want = {r[0] for r in con.execute(f"select doc_id from ({quality_rules.quality_sql()}) q where kept").fetchall()}
+            assert {r.doc_id for r in after.collect()} == want
+        if name == "substring_dedup":
+            texts = {r.doc_id: r.text for r in before.collect()}
+            got = {r.doc_id: r.text for r in after.collect()}
+            for doc_id, spans, digest in con.execute(f"select doc_id, spans, clean_sha256 from ({substring_dedup.dedup_units_sql()}) q").fetchall():
+                gone = [tuple(map(int, s.split("-"))) for s in (spans or "").split(",") if s]
+                rest = "".join(c for i, c in enumerate(texts[doc_id]) if not any(a <= i < b for a, b in gone))
+                assert hashlib.sha256(rest.encode()).hexdigest() == digest
+                assert got.get(doc_id) == (rest if words(rest) or not gone else None)
+        if name in ("mixing", "packing"):
+            slots = dict(con.execute(f"select doc_id, slot from ({mixing.mix_sql()}) q").fetchall())
+        if name == "mixing":
+            order = [slots[r.doc_id] for r in after.collect()]
+            assert sorted(slots) == sorted(r.doc_id for r in after.collect()) and order == sorted(order, key=lambda s: (s is None, s or 0))
+        if name == "packing":
+            with open(token_counts.VOCABULARY, "rb") as file:
+                encoder = token_counts.Encoder(file.read())
+            largest, windows = max(packing.CAPACITIES), collections.defaultdict(list)
+            for r in before.collect():
+                n = len(encoder.encoding.encode_ordinary(r.text or "")) + 1
+                windows[None if slots[r.doc_id] is None else slots[r.doc_id] // corpus_pipeline.WINDOW_SLOTS] += [largest] * (n // largest) + [n % largest] * (n % largest > 0)
+            bins = collections.defaultdict(set)
+            for r in after.collect():
+                bins[r.window].add((r.bin_id, r.capacity))
+            assert bins.keys() == windows.keys()
+            for window, lengths in windows.items():
+                _, want = plain_best_fit(sorted(lengths, reverse=True), packing.CAPACITIES, packing.sequence_costs())
+                assert sorted(c for _, c in bins[window]) == want
+    (spark.read.parquet(f"{folder}/documents")).write.parquet(f"{folder}/whole/documents.parquet")
+    row = lambda r: (r.doc_id, r.piece, r.piece_start, r.n_tokens, r.window, r.capacity)
+    assert sorted(map(row, corpus_pipeline.run(spark, f"{folder}/whole").collect()), key=str) == sorted(map(row, spark.read.parquet(f"{folder}/packing").collect()), key=str)
